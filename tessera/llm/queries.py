@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html, mixing, packing, phrases, secrets, toxicity
+from . import ann, embed_dedup, html, mixing, near_dedup, packing, phrases, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_permutation_ann, op3_mix_sources, op4_secret_scan, op5_embedding_dedup, op6_html_text, op7_phrase_automata, op9_best_fit_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_permutation_ann, op3_mix_sources, op4_secret_scan, op5_embedding_dedup, op6_html_text, op7_phrase_automata, op8_dart_minhash, op9_best_fit_packing, op10_toxicity)}
 ORACLE = {"op3_mix_sources": mixing.SQL}
