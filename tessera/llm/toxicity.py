@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW = 64
 STRIDE = 48
@@ -343,7 +344,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     has the name of the score is replaced.
     """
     docs = docs.drop("toxicity_score")
-    schema = docs.schema.add("toxicity_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("toxicity_score", DoubleType())])
     at = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
