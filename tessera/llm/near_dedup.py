@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, text_or_empty
-from .textnp import GOLDEN, grouped, mix, shingles, word_hashes
+from .textnp import GOLDEN, grouped, mix, shingles, text_bytes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -107,7 +107,7 @@ def _describe(bands: int, rows: int, size: int):
         scale = [mix(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(rows)]
         for b in batches:
             m = b.column(0).to_numpy()
-            texts = [t.encode() for t in b.column(1).to_pylist()]
+            texts = text_bytes(b.column(1))
             for group in grouped(texts):
                 strips, at = elements([texts[i] for i in group], size)
                 sig = dart_signatures(strips, at, len(group), bands * rows)

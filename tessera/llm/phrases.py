@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
-from .textnp import grouped, mix, shingles, word_hashes
+from .textnp import grouped, mix, shingles, text_bytes, word_hashes
 
 WINDOW = 13
 PHRASE = 4
-PATTERNS_A_SHARD = 100_000
-DOCS_A_BLOCK = 4096
+DOCS_A_BLOCK = 2048
 LAST = 2**63 - 1
 
 
@@ -48,7 +47,7 @@ def _anchor_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = [t.encode() for t in b.column(2).to_pylist()]
+            texts = text_bytes(b.column(2))
             for group in grouped(texts):
                 words, count = word_hashes([texts[i] for i in group])
                 key, at, ok, _ = anchors(words, count, window)
@@ -63,21 +62,37 @@ def _anchor_rows(window: int):
     return rows
 
 
-def _automaton(keys: np.ndarray) -> ahocorasick.Automaton:
+def _spell(parts: np.ndarray) -> str:
+    """16-bit words as four letters each of an alphabet of 16, so that no node of an automaton has many children."""
+    nibbles = parts.astype(np.uint16)[:, None] >> np.array([12, 8, 4, 0], np.uint16) & np.uint16(15)
+    return (nibbles.astype(np.uint8) + np.uint8(97)).tobytes().decode("ascii")
+
+
+def automaton(keys: np.ndarray) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     parts = keys.view(np.uint64)[:, None] >> np.array([48, 32, 16, 0], np.uint64) & np.uint64(0xFFFF)
-    text = (parts + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+    text, n = _spell(parts.ravel()), 4 * PHRASE
     for i in range(len(keys)):
-        a.add_word(text[PHRASE * i : PHRASE * (i + 1)], 1)
+        a.add_word(text[n * i : n * (i + 1)], 1)
     a.make_automaton()
     return a
 
 
+def occurrences(a: ahocorasick.Automaton, words: np.ndarray) -> np.ndarray:
+    """Positions of the words at which a pattern starts."""
+    stop = np.fromiter((e for e, _ in a.iter(_spell(words >> np.uint64(48)))), np.int64) + 1
+    return np.unique(stop[stop % 4 == 0] // 4 - PHRASE)
+
+
 def _locate(window: int):
-    def locate(patterns: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    def locate(left: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(patterns) and len(docs):
-            a = _automaton(patterns["key"].to_numpy())
+        keys = left["x"][left["kind"] == 0].to_numpy()
+        if len(keys) and len(docs):
+            own = left[left["kind"] == 1]
+            reps = set(zip(own["x"], own["y"]))
+            docs = docs[[x in reps for x in zip(docs["d"], docs["m"])]]
+            a = automaton(keys)
             texts = [t.encode() for t in docs["text"]]
             ids, tags = docs["d"].to_numpy(), docs["m"].to_numpy()
             for group in grouped(texts):
@@ -85,10 +100,8 @@ def _locate(window: int):
                 _, at, ok, _ = anchors(words, count, window)
                 if not ok.any():
                     continue
-                # a word is one character, so a text is a string of its words and a phrase a pattern of PHRASE characters
-                stream = ((words >> np.uint64(48)) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
-                hit = np.zeros(len(words) + 1, bool)
-                hit[np.fromiter((e for e, _ in a.iter(stream)), np.int64) - (PHRASE - 1)] = True
+                hit = np.zeros(len(words), bool)
+                hit[occurrences(a, words)] = True
                 w = np.flatnonzero(ok & hit[at])
                 h = shingles(words, count, window)[0][w]
                 doc = np.searchsorted(np.cumsum(count), w, "right")
@@ -118,10 +131,11 @@ def keep_words(text: bytes, flags, window: int = WINDOW) -> tuple[int, int, byte
 def _finish(window: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, copy, flags = (b.column(k) for k in range(4))
+            ids, copy, flags = b.column(0), b.column(2), b.column(3)
+            texts = text_bytes(b.column(1))
             rows = []
             for i in range(b.num_rows):
-                text = texts[i].as_py().encode()
+                text = texts[i]
                 if copy[i].as_py():  # a smaller id has the same text
                     n = len(text.split())
                     rows.append((n, n, b"") if n >= window else (n, 0, b" ".join(text.split())))
@@ -150,40 +164,43 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     with ``digest`` its ``kept_sha256``; one row an input row.
 
     Every window has an anchor phrase that depends on its words alone. Anchors in
-    two documents or more are the confirmed recurring ones; all others are out.
-    They are dealt into shards by the first document that has them, so a passage's
-    phrases stay together. A task compiles one shard's automaton and streams
-    through it a block of the documents with anchors in it; windows around the
-    located phrases are compared by their hash: the smallest id that has it owns it.
-    Copies of a whole text are settled first, by the smallest id of that text.
+    two different texts or more are the confirmed recurring ones; all others are
+    out. Documents are dealt into blocks by hash. A task compiles the recurring phrases of
+    one block into its shard of the automata and streams the block's whole
+    documents through it; windows around the located phrases are compared
+    over all blocks by their hash: the smallest id that has one owns it. Copies of a whole
+    text are settled by the smallest id of that text, which alone is located.
 
     Null text has no words; a null id counts as larger than any other; rows of the
     same id don't remove each other's words; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "phrases")
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_or_empty().alias("text")).withColumn("m", F.xxhash64("text"))
-    many = d.groupBy("m", F.md5("text").alias("md5")).agg(F.min("d").alias("owner"), F.count("*").alias("n")).where("n > 1").select("m", "md5", "owner")
-    many = scratch.table(many.coalesce(8), "copies")
-    d = d.join(many.withColumnRenamed("m", "m2"), (F.col("m") == F.col("m2")) & (F.md5("text") == F.col("md5")), "left")
-    d = d.select("doc_id", "d", "m", "text", F.coalesce(F.col("owner") < F.col("d"), F.lit(False)).alias("copy"))
-    reps = d.where("not copy").select("d", "m", "text")
-    found = reps.mapInArrow(_anchor_rows(window), "key long, d long, m long")
-    found = scratch.table(found, "anchors")
-    shared = found.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("key", "lo")
-    shared = scratch.table(shared, "shared")
-    shards = max(1, -(-shared.count() // PATTERNS_A_SHARD))
-    shared = shared.select("key", F.pmod(F.xxhash64("lo"), F.lit(shards)).alias("shard"))
-    route = scratch.table(found.join(shared, "key").select("d", "m", "shard").distinct(), "route")
-    scratch.drop("anchors")
-    salts = route.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(float(DOCS_A_BLOCK))).cast("int").alias("salts"))
-    salts = scratch.table(salts.coalesce(1), "salts")
-    left = shared.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", "shard", "salt")
-    right = reps.join(route.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("d", "m"), F.col("salts")).cast("int")), ["d", "m"]).select("d", "m", "text", "shard", "salt")
-    seen = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(_locate(window), "h long, d long, m long")
+    found = scratch.table(d.select("d", "m", "text").mapInArrow(_anchor_rows(window), "key long, d long, m long"), "anchors")
+    meta = scratch.table(d.select("d", "m").distinct(), "meta")
+    owners = scratch.table(meta.groupBy("m").agg(F.min("d").alias("owner")), "owners")
+    shared = scratch.table(found.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("key"), "shared")
+    scratch.free()
+    blocks = max(1, -(-owners.count() // DOCS_A_BLOCK))
+    block = F.pmod(F.xxhash64("d", "m"), F.lit(blocks)).alias("block")
+    rep = owners.select(F.col("owner").alias("d"), "m")
+    keys = found.join(shared, "key").join(rep, ["d", "m"], "left_semi").select(block, "key").distinct()
+    keys = scratch.table(keys, "patterns")
+    scratch.drop("anchors", "shared")
+    scratch.free()
+    # a block's patterns (kind 0) and the rows that are located there (kind 1)
+    left = keys.select("block", F.lit(0).alias("kind"), F.col("key").alias("x"), F.lit(0).cast("long").alias("y"))
+    left = left.union(rep.select(block, F.lit(1), "d", "m"))
+    seen = left.groupBy("block").cogroup(d.select(block, "d", "m", "text").groupBy("block")).applyInPandas(_locate(window), "h long, d long, m long")
     seen = scratch.table(seen, "windows")
-    owners = seen.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h", "lo")
-    flags = seen.join(owners, "h").where("lo < d").groupBy("d", "m").agg(F.collect_set("h").alias("flags"))
-    flags = scratch.table(flags, "flags")
-    out = d.join(flags, ["d", "m"], "left").select("doc_id", "text", "copy", "flags")
+    scratch.drop("patterns")
+    scratch.free()
+    first = seen.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h", "lo")
+    flags = seen.join(first, "h").where("lo < d").groupBy("d", "m").agg(F.collect_set("h").alias("flags"))
+    info = meta.join(owners, "m").select("d", "m", (F.col("owner") < F.col("d")).alias("copy")).join(flags, ["d", "m"], "left")
+    info = scratch.table(info, "info")
+    scratch.drop("windows", "meta", "owners")
+    scratch.free()
+    out = d.join(info, ["d", "m"]).select("doc_id", "text", "copy", "flags")
     out = out.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string") if digest else out

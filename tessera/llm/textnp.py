@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are handled in groups of about this many bytes; a longer one is alone.
 PIECE = 1 << 20
@@ -80,3 +81,8 @@ def grouped(texts: list[bytes]) -> Iterator[list[int]]:
         size += len(t)
     if group:
         yield group
+
+
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """UTF-8 of the texts of an Arrow column."""
+    return column.cast(pa.binary()).to_pylist()
