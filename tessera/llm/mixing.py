@@ -55,7 +55,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix-", s
     of ``-ln(u) / weight`` until the prefix sum of sizes reaches it; the document
     on the border gives the words that still fit.
 
-    Returns ``doc_id, size, source_size, target, taken``, one row an input row.
+    Returns ``doc_id, size, source_size, target, taken, m``, one row an input row;
+    ``m`` is a hash of the text.
     Null text has size 0, a null source is a source, a null id samples by the word
     "null", repeated rows count each, an empty table gives an empty result. Keys
     tie only for repeated ids; then size decides, and equal rows are interchangeable.
@@ -65,14 +66,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix-", s
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    d = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"), word_count(F.col("text")).alias("size"))
     d = scratch.table(d, "sizes")
     if quality is not None:
         d = d.join(quality.select("doc_id", "quality_weight"), "doc_id", "left")
         weight = F.coalesce("quality_weight", F.lit(1.0))
     else:
         weight = F.lit(1.0)
-    d = d.select("doc_id", "source", "size", weight.alias("w")).withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("w"))
+    d = d.select("doc_id", "source", "m", "size", weight.alias("w")).withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("w"))
     d = scratch.table(d, "keys")
     scratch.drop("sizes")
     stats = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows_"), F.min("w").alias("slow_"))
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix-", s
     plan = scratch.table(plan.coalesce(1), "plan")
     bins = F.ceil(F.col("rows_") / F.lit(float(ROWS_A_BIN)))
     d = d.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.doc_id", "d.source", "d.size", "d.key", "source_size", "target", "epochs_", "rest_",
+        "d.doc_id", "d.source", "d.m", "d.size", "d.key", "source_size", "target", "epochs_", "rest_",
         F.floor((F.lit(1.0) - F.exp(-F.col("slow_") * F.col("d.key"))) * bins).cast("long").alias("bin"),
     )
     sums = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix-", s
     d = d.withColumn("within_", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bin") == F.col("s.bin")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest_") - F.col("before_") - F.col("within_")))
-    return d.select("d.doc_id", "size", "source_size", "target", (F.col("epochs_") * F.col("size") + part).cast("long").alias("taken"))
+    return d.select("d.doc_id", "size", "source_size", "target", (F.col("epochs_") * F.col("size") + part).cast("long").alias("taken"), "d.m")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.label_quality(table(spark, sf_dir, "labels")))
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.label_quality(table(spark, sf_dir, "labels"))).drop("m")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

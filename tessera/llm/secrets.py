@@ -37,7 +37,7 @@ def scan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     blob = F.when(text.rlike(BLOB), F.transform(F.regexp_extract_all(text, F.lit(BLOB), F.lit(0)), lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]")))
     d = docs.select("doc_id", text_or_empty().alias("text"))
     d = d.select(
-        "doc_id", _lengths(text, ASSIGN, 2).alias("m0"), _lengths(text, ACCESS).alias("m1"), _lengths(text, HEX).alias("m2"),
+        "doc_id", F.xxhash64("text").alias("m"), _lengths(text, ASSIGN, 2).alias("m0"), _lengths(text, ACCESS).alias("m1"), _lengths(text, HEX).alias("m2"),
         _lengths(text, IDENT).alias("m3"), _lengths(text, BLOB).alias("m4"), _lengths(text, ENDPOINT).alias("m5"), blob.alias("mixed"),
     )
     d = scratch.table(d, "lengths").withColumn("rid", F.monotonically_increasing_id())
@@ -54,7 +54,7 @@ def scan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(w)
     spans = every.withColumn("end", end).where("keep").select("rid", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
-    return d.select("doc_id", "rid"), scratch.table(spans, "spans")
+    return d.select("doc_id", "m", "rid"), scratch.table(spans, "spans")
 
 
 def link(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -82,7 +82,7 @@ def link(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Secret spans of whole texts: ``doc_id, spans array<struct<start, kind, end>>``, one row an input row.
+    """Secret spans of whole texts: ``doc_id, m, spans array<struct<start, kind, end>>``, one row an input row; ``m`` is a hash of the text.
 
     ``docs(doc_id, text)``; other columns are not read. Spans are in code points,
     end exclusive, ordered by start and then kind as ``KINDS`` lists them; kinds
@@ -94,7 +94,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     every = spans.where(F.col("kind") < BASE).union(link(spans, scope))
     found = every.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))).alias("spans"))
     out = rows.join(found, "rid", "left")
-    return out.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("spans"))
+    return out.select("doc_id", "m", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

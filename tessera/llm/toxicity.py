@@ -349,11 +349,23 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
+            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(model, texts), pa.float64())], [*b.schema.names, "toxicity_score"])
 
     return docs.mapInArrow(apply, schema)
 
 
+def keep_clean(docs: DataFrame, model: dict, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose score is below ``below``."""
+    at = docs.columns.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(score_texts(model, texts) < below))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def held_out_crc(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 0

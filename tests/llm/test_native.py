@@ -81,7 +81,7 @@ def test_mix_matches_sql(spark, n):
     rows = [(None if i % 41 == 5 else i - i % 2 * (i % 13 == 0), None if i % 17 == 3 else words(i * i % 53), [None, "", "b", "é", "hot", "hot"][i % 6]) for i in range(n)]
     rows += rows[:3]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, n, 3)] + [(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
-    got = [tuple(r) for r in mixing.mix(docs(spark, rows), mixing.label_quality(labels)).collect()]
+    got = [tuple(r) for r in mixing.mix(docs(spark, rows), mixing.label_quality(labels)).drop("m").collect()]
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[2] for r in rows], pa.string())}))
     con.register("labels", labels.toArrow())
