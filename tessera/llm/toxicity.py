@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .textnp import SPACE, grouped, powers
+
 WINDOW = 64
 STRIDE = 48
 HIDDEN = 8
@@ -23,39 +25,32 @@ LEAST_STEPS, WORD_DROP, DECAY = 250, 0.4, 2e-3
 FLOOR = -12.0
 PIECE = 400_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PRIME = np.uint64(0x100000001B3)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out
-
-
 class Words:
     """Words of some texts: their buckets, their character 4-grams (with marked ends), and each text's number of words."""
 
     def __init__(self, texts: list[bytes]):
+        parts = [self._read([texts[i] for i in group]) for group in grouped(texts)] or [self._read([])]
+        self.count, self.bucket, self.gram, self.grams = (np.concatenate(x) for x in zip(*parts))
+        self.first = np.cumsum(self.grams) - self.grams
+
+    @staticmethod
+    def _read(texts: list[bytes]) -> tuple:
         data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n\n\n\n", np.uint8)
-        low, space = _LOWER[data], _SPACE[data]
+        low, space = _LOWER[data], SPACE[data]
         begin = np.flatnonzero(~space[1:] & space[:-1]) + 1
         end = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         at = np.cumsum([1] + [len(t) + 1 for t in texts])
-        self.count = np.diff(np.searchsorted(begin, at))
-        up, down = _powers(len(low) + 1, int(_PRIME)), _powers(len(low) + 1, pow(int(_PRIME), -1, 1 << 64))
+        count = np.diff(np.searchsorted(begin, at))
+        up, down = powers(len(low) + 1, int(_PRIME)), powers(len(low) + 1, pow(int(_PRIME), -1, 1 << 64))
         total = np.concatenate(([np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1])))
         h = (total[end] - total[begin]) * down[begin]
         h ^= h >> np.uint64(29)
-        self.bucket = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int32)
+        bucket = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int32)
         low = np.where(space, np.uint8(32), low).astype(np.uint32)
         gram = low[:-3] | low[1:-2] << 8 | low[2:-1] << 16 | low[3:] << 24
         short = begin[end - begin == 1] - 1
@@ -63,9 +58,8 @@ class Words:
         valid = ~space[1:-2] & ~space[2:-1]
         valid[short] = True
         at = np.flatnonzero(valid)
-        self.gram = ((gram[at] * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int32)
-        self.grams = np.maximum(end - begin - 1, 1)
-        self.first = np.concatenate(([0], np.cumsum(self.grams)[:-1])) if len(begin) else np.zeros(0, np.int64)
+        gram = ((gram[at] * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int32)
+        return count, bucket, gram, np.maximum(end - begin - 1, 1)
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,8 +269,7 @@ def train(texts: list[bytes], labels: np.ndarray, total: tuple[int, int] | None
     for epoch in range(epochs):
         key = r.random(len(text)).astype(np.float32)
         if epoch >= epochs * NOISY:
-            logit = window_logits(m, texts)[0]
-            key = -logit
+            key = -np.concatenate([window_logits(m, [texts[i] for i in group])[0] for group in grouped(texts)])
         order = np.lexsort((key, text))
         many = np.bincount(text, minlength=len(texts))
         rank = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
