@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, html, mixing, near_dedup, packing, phrases, secrets, toxicity
+from . import ann, embed_dedup, html, mixing, near_dedup, packing, phrases, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.where("vec_id % 20 = 0"))
@@ -54,5 +58,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_permutation_ann, op3_mix_sources, op4_secret_scan, op5_embedding_dedup, op6_html_text, op7_phrase_automata, op8_dart_minhash, op9_best_fit_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_permutation_ann, op3_mix_sources, op4_secret_scan, op5_embedding_dedup, op6_html_text, op7_phrase_automata, op8_dart_minhash, op9_best_fit_packing, op10_toxicity)}
 ORACLE = {"op3_mix_sources": mixing.SQL}
