@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _REAL = r"^[\x20\t\n\x0B\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
@@ -146,7 +147,7 @@ def is_in(x: Column, values: list) -> Column:
     return x.isin(values) if values else F.lit(False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def real_to_text(x: pd.Series) -> pd.Series:
     """REAL as text: 15 significant digits, always with a point or exponent."""
 
