@@ -36,7 +36,7 @@ class FtsIndex:
         words = docs.select(F.col(docid).alias("docid"), *[t.array(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
         stats = words.select("docid", F.array(*[F.size(f"c{i}") for i in range(len(columns))]).alias("lens"))
         each = reduce(DataFrame.union, [words.select("docid", F.lit(i).alias("col"), F.posexplode(f"c{i}").alias("pos", "term")) for i in range(len(columns))])
-        each = t.finish(each.where(F.octet_length("term") <= MAX_TERM_BYTES))
+        each = each.where(F.octet_length("term") <= MAX_TERM_BYTES)
         group = ["term", "docid"] if detail == "none" else ["term", "docid", "col"]
         gather = [F.count("*").cast("int").alias("tf")]
         gather.append(F.array_sort(F.collect_list("pos")).alias("positions") if detail == "full" else F.lit(None).cast("array<int>").alias("positions"))

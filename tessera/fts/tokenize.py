@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -24,9 +25,12 @@ def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else re.findall(r"[^\W_]+", fold(t)))
 
 
-@F.pandas_udf(StringType())
-def _stemmed(term: pd.Series) -> pd.Series:
-    return term.map(stem)
+_stem = lru_cache(1 << 18)(stem)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stemmed(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda ts: [_stem(t) for t in ts])
 
 
 class Tokenizer:
@@ -47,7 +51,11 @@ class Tokenizer:
         self.case = self.options.get("case_sensitive", "0") == "1"
 
     def array(self, text: Column) -> Column:
-        """Terms in order, before stemming. Built-in functions unless diacritics are removed."""
+        """Terms in order. Built-in functions unless diacritics are removed or terms are stemmed."""
+        terms = self._base(text)
+        return _stemmed(terms) if self.porter else terms
+
+    def _base(self, text: Column) -> Column:
         text = F.coalesce(text, F.lit(""))
         if self.base == "trigram":
             t = text if self.case else F.lower(text)
@@ -56,13 +64,6 @@ class Tokenizer:
             return _folded(text)
         return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
-    def finish(self, tokens: DataFrame) -> DataFrame:
-        """Stems over the distinct vocabulary, joined back."""
-        if not self.porter:
-            return tokens
-        vocabulary = tokens.select("term").distinct().select("term", _stemmed("term").alias("stem"))
-        return tokens.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")
-
     def terms(self, text: str) -> list[str]:
         """Terms of a query string, on the driver."""
         if self.base == "trigram":
