@@ -25,12 +25,16 @@ def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else re.findall(r"[^\W_]+", fold(t)))
 
 
-_stem = lru_cache(1 << 18)(stem)
+@lru_cache(1 << 18)
+def _known_stem(term: str) -> str:
+    return stem(term)
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _stemmed(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda ts: [_stem(t) for t in ts])
+    from . import tokenize  # the worker's own module, whose cache lives as long as the worker
+
+    return terms.map(lambda ts: [tokenize._known_stem(t) for t in ts])
 
 
 class Tokenizer:

@@ -58,7 +58,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         with _open(self.path) as con:
             low, high = con.execute(f'select min(rowid), max(rowid) from "{self.table}"').fetchone()
-        return [] if low is None else [_Part(a, min(high, a + ROWS_A_PART - 1)) for a in range(low, high + 1, ROWS_A_PART)]
+        return [_Part(0, -1)] if low is None else [_Part(a, min(high, a + ROWS_A_PART - 1)) for a in range(low, high + 1, ROWS_A_PART)]
 
     def read(self, part):
         names = ", ".join("rowid" if f.name == "rowid" else f'"{f.name}"' for f in self.fields)
