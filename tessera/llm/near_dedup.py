@@ -20,8 +20,6 @@ BANDS, ROWS = 24, 5
 #: Pairs whose signatures agree less than this far below the similarity are not verified: over 4 deviations.
 MARGIN = 0.15
 MEMBERS_A_BLOCK = 2048
-#: Partners that a member tries in each other component before all that are left are compared.
-BEST = 3
 #: Upper ends of the rank cells: each dart has a rank in one; from the last on they are one wide.
 CELLS = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1.0)
 
@@ -139,35 +137,47 @@ def _verified(pairs: DataFrame, strips: DataFrame, similarity: float) -> DataFra
     return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _compare(bands: int, rows: int, least: float, top: int | None):
-    """Pairs of different components in two blocks of a bucket whose signatures agree enough.
+def _compare(bands: int, rows: int, similarity: float):
+    """Links that join different components in two blocks of a bucket.
 
-    With ``top``, only the best so many partners of each member in each other component.
+    Pairs of different components whose signatures agree enough are verified
+    exactly here, so only a spanning forest of the links leaves the task.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         band, a, b = (int(pdf[c].iat[0]) for c in ("band", "a", "b"))
         left, right = pdf[pdf["block"] == a].sort_values("m"), pdf[pdf["block"] == b].sort_values("m")
-        out = []
+        out: list[tuple[int, int]] = []
         if len(left) and len(right):
             sx, sy = np.stack(left["sig"].to_numpy()), np.stack(right["sig"].to_numpy())
-            cx, cy = left["component"].to_numpy(), right["component"].to_numpy()
             mx, my = left["m"].to_numpy(), right["m"].to_numpy()
+            wx = [np.sort(x) for x in left["strips"]]
+            wy = wx if a == b else [np.sort(x) for x in right["strips"]]
+            names, both = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+            part = np.arange(len(names))
+            cx, cy = both[: len(mx)], both[len(mx) :]
             for i in range(len(mx)):
-                js = np.flatnonzero((cy != cx[i]) & ((my > mx[i]) | (a != b)))
-                if len(js):
-                    same = sy[js] == sx[i]
-                    first = same[:, : band * rows].reshape(len(js), band, rows).all(2).any(1) if band else np.zeros(len(js), bool)
-                    agree = same.mean(1)
-                    ok = (agree >= least) & ~first
-                    js, agree = js[ok], agree[ok]
-                    if top and len(js) > top:
-                        order = np.lexsort((-agree, cy[js]))
-                        js = js[order]
-                        begin = np.flatnonzero(np.concatenate(([True], cy[js][1:] != cy[js][:-1])))
-                        js = js[np.arange(len(js)) - np.repeat(begin, np.diff(np.append(begin, len(js)))) < top]
-                    out.append(pd.DataFrame({"a": np.maximum(mx[i], my[js]), "b": np.minimum(mx[i], my[js])}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+                js = np.flatnonzero((part[cy] != part[cx[i]]) & ((my > mx[i]) | (a != b)))
+                if not len(js):
+                    continue
+                same = sy[js] == sx[i]
+                # a pair that meets in an earlier band is compared there
+                first = same[:, : band * rows].reshape(len(js), band, rows).all(2).any(1) if band else np.zeros(len(js), bool)
+                agree = same.mean(1)
+                ok = (agree >= similarity - MARGIN) & ~first
+                js, agree = js[ok], agree[ok]
+                for j in js[np.argsort(-agree, kind="stable")]:
+                    if part[cy[j]] == part[cx[i]]:
+                        continue
+                    x, y = wx[i], wy[j]
+                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                        continue
+                    at = np.searchsorted(y, x)
+                    both_ = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    if both_ >= similarity * (len(x) + len(y) - both_):
+                        out.append((int(mx[i]), int(my[j])))
+                        part[part == part[cy[j]]] = part[cx[i]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return compare
 
@@ -183,10 +193,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     Copies of a text are one node. Signatures are banded; a bucket first compares
     its members with the one that meets most others over all bands (of a family of
     copies, the original), so a bucket of ``n`` gives ``n - 1`` pairs. Buckets that
-    then still hold several components compare the members of different ones by
-    signature, in blocks: first each with its ``BEST`` partners of each component,
-    then, for the components still apart, with all that are near enough. All links
-    are verified by the exact similarity.
+    then still hold several components compare the members of different ones in
+    blocks, by signature and then exactly, and return only links that join
+    components. All links are verified by the exact similarity.
 
     Texts without words link with nothing. A null id counts as larger than others;
     its class is null, and it is kept, only where its class has no other id. Rows of an equal id
@@ -211,22 +220,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     pairs = scratch.table(pairs, "pairs")
     strips = rep.select("m", "strips").dropDuplicates(["m"])
     links = scratch.table(_verified(pairs, strips, similarity), "links0")
-    for k, top in ((1, BEST), (2, None)):
-        parts = components(spark, links, scratch, f"parts{k}")
-        member = flat.join(parts, F.col("m") == F.col("id"), "left").select("m", "band", "key", F.coalesce("component", "m").alias("component"))
-        member = scratch.table(member, f"members{k}")
-        # a bucket of two has compared its pair
-        mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-        blocks = F.ceil(F.col("n") / F.lit(float(MEMBERS_A_BLOCK))).cast("int")
-        left = member.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        left = left.select("key", "band", "m", "component", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-        left = left.join(rep.select("m", "sig"), "m")
-        more = left.groupBy("key", "a", "b").applyInPandas(_compare(bands, rows, similarity - MARGIN, top), "a long, b long").distinct()
-        more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), f"pairs{k}")
-        links = scratch.table(links.union(_verified(more, strips, similarity)), f"links{k}")
-        pairs = pairs.union(more)
-        scratch.free()
+    parts = components(spark, links, scratch, "parts0")
+    member = flat.join(parts, F.col("m") == F.col("id"), "left").select("m", "band", "key", F.coalesce("component", "m").alias("component"))
+    member = scratch.table(member, "members")
+    # a bucket of two has compared its pair
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
+    blocks = F.ceil(F.col("n") / F.lit(float(MEMBERS_A_BLOCK))).cast("int")
+    left = member.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", "band", "m", "component", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    left = left.join(rep.select("m", "sig", "strips"), "m")
+    more = left.groupBy("key", "a", "b").applyInPandas(_compare(bands, rows, similarity), "a long, b long")
+    links = scratch.table(links.union(more), "links1")
+    scratch.free()
     parts = components(spark, links, scratch, "parts")
 
     meta = d.select("doc_id", "m", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("full"))
