@@ -178,3 +178,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, projections:
     took = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rest = src.where(~took).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: DuckDB SQL for ``near_duplicates``, where ids are unique and not null.
+SQL = """
+with recursive v as (select vec_id, label, embedding::double[] e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n as (select *, sqrt(list_dot_product(e, e)) l from v),
+links as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.93),
+r(id, c) as (select vec_id, vec_id from embeddings union select links.b, r.c from r join links on links.a = r.id),
+k as (select a, count(*) n from links group by 1)
+select id as vec_id, coalesce(any_value(k.n), 0)::bigint as n_links, min(c) as component_id, id = min(c) as kept from r left join k on k.a = r.id group by id
+"""

@@ -204,3 +204,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     out = d.join(info, ["d", "m"]).select("doc_id", "text", "copy", "flags")
     out = out.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string") if digest else out
+
+
+#: DuckDB SQL for ``remove_repeats`` with its digest, where ids are unique.
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+p as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) i from w),
+win as (select doc_id, i, string_agg(word, ' ') over o s, count(*) over o c from p window o as (partition by doc_id order by i rows between current row and 12 following)),
+own as (select s, min(doc_id) lo from win where c = 13 group by 1),
+bad as (select doc_id, i from win join own using (s) where c = 13 and lo < doc_id),
+cov as (select p.doc_id, p.word, p.i, max(case when bad.i is null then 0 else 1 end) over (partition by p.doc_id order by p.i rows between 12 preceding and current row) g from p left join bad on bad.doc_id = p.doc_id and bad.i = p.i),
+r as (select doc_id, count(*) n, sum(g) removed, string_agg(word, ' ' order by i) filter (where g = 0) kept from cov group by 1)
+select w.doc_id, coalesce(n, 0)::bigint n_words, coalesce(removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join r using (doc_id)
+"""
