@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +120,28 @@ def redact(text, spans, mark: str = "[SECRET]"):
         more = F.concat(a["out"], F.substring(text, (a["end"] + 1).cast("int"), (s["start"] - a["end"]).cast("int")), F.lit(mark))
         return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when(inside, a["out"]).otherwise(more).alias("out"))
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["end"] + 1).cast("int"), F.lit(2**31 - 1))))
+
+
+def _matches(k: int, pattern: str, group: int = 0, keep: str = "true") -> str:
+    """SQL of one kind: lengths around its matches, their running sums, and its spans ``s{k}``."""
+    # DuckDB folds other letters than ASCII too, so both cases are spelled out
+    p = re.sub(r"\(\?i:(.*?)\)(?=\)|\[)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern).replace("'", "''")
+    size = "lambda x: len(x)"
+    return f"""m{k} as (select rid, {k} k, unnest(list_transform(regexp_split_to_array(t, '{p}'), {size})) gap, unnest(list_transform(regexp_extract_all(t, '{p}'), {size})) l,
+  unnest(regexp_extract_all(t, '{p}', {group})) v, generate_subscripts(regexp_split_to_array(t, '{p}'), 1) i from d where regexp_matches(t, '{p}')),
+s{k} as (select rid, k, (e - l)::bigint s, e::bigint e from (select *, sum(gap + l) over (partition by rid order by i) e from m{k} where l is not null) x where {keep})"""
+
+
+def sql(scope: int = SCOPE) -> str:
+    """DuckDB SQL for ``digest(find_secrets(documents))``."""
+    mixed = "regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]')"
+    kinds = [_matches(0, ASSIGN, 2, "len(v) >= 6"), _matches(1, ACCESS), _matches(2, HEX), _matches(3, IDENT), _matches(4, BLOB, 0, mixed), _matches(5, ENDPOINT)]
+    say = f"string_agg({list(KINDS)!r}[k + 1] || ':' || s || ':' || e, ',' order by s, k, e)"
+    count = lambda k: f"coalesce(count(*) filter (where k = {k}), 0)"
+    return f"""with d as (select doc_id, coalesce(text, '') t, row_number() over () rid from documents), {", ".join(kinds)},
+a as (select *, case when k in (1, 3) then 0 when k = 5 then 2 else 1 end r, s // {scope} b from ({" union all ".join(f"select * from s{k}" for k in range(6))}) u),
+w as (select rid, k, r, s, e, bool_or(g between 0 and {scope} and r2 = 0) i, bool_or(g between 0 and {scope} and r2 = 1) c, bool_or(g < 0 and k = 4 and k2 <> 4) o
+  from (select a.*, p.k k2, p.r r2, greatest(a.s, p.s) - least(a.e, p.e) g from a join a p on a.rid = p.rid and abs(a.b - p.b) <= 1 where a.k >= 3) x group by 1, 2, 3, 4, 5),
+f as (select rid, k, s, e from a where k < 3 union all select rid, k, s, e from w where case when r = 0 then c when r = 1 then i and not o else i and c end),
+z as (select rid, {count(0)} n0, {count(1)} n1, {count(2)} n2, {say} filter (where k < 3) base, {say} every from f group by 1)
+select doc_id, coalesce(n0, 0)::bigint n_assign, coalesce(n1, 0)::bigint n_access, coalesce(n2, 0)::bigint n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans from d left join z using (rid)"""

@@ -96,3 +96,9 @@ def test_mix_bins_are_exact(spark, monkeypatch):
     whole = sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()))
     monkeypatch.setattr(mixing, "ROWS_A_BIN", 50)
     assert sorted(map(tuple, mixing.mix(docs(spark, rows)).collect())) == whole
+
+
+def test_secrets_sql_matches_brute_force():
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())}))
+    assert sorted(con.execute(secrets.sql()).fetchall()) == [(i, *brute(t)) for i, t in enumerate(TEXTS)]
