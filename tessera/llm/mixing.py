@@ -11,7 +11,7 @@ from .common import Scratch, word_count
 CYCLE = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
-ROWS_A_BIN = 20_000
+ROWS_A_BIN = 5_000
 
 
 def uniform(doc_id, seed: str):
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix-", s
     sums = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before_", F.coalesce(F.sum("bin_size").over(up), F.lit(0))).drop("bin_size")
-    sums = scratch.table(sums.coalesce(1), "bins")
+    sums = scratch.table(sums, "bins")
     inner = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within_", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bin") == F.col("s.bin")))
