@@ -64,15 +64,17 @@ def link(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Parts are identifiers (``ident`` and ``access``), secrets (``assign``, ``hex``,
     ``blob``) and endpoints. An interval join on (row, scope bin) meets each weak
-    candidate with the parts of its own and the two neighbouring bins. Spans of a
+    candidate, under every bin it covers, with the parts posted under every bin that
+    they or their scope cover, so spans of any length meet. Spans of a
     kind don't overlap and have 7 characters or more, so a bin holds a bounded
     number of them. A weak identifier or blob needs the other of the two; an
     endpoint needs both. A blob over a base span is that span, not a candidate.
     """
     role = F.when(F.col("kind").isin(1, 3), 0).when(F.col("kind") == 5, 2).otherwise(1)
-    s = spans.withColumn("role", role).withColumn("bin", F.floor(F.col("start") / scope))
-    weak = s.where("kind >= 3")
-    parts = s.select("rid", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("kind").alias("k2"), F.col("role").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    bins = lambda before, after: F.explode(F.sequence(F.floor((F.col("start") - before) / scope), F.floor((F.col("end") + after) / scope))).alias("bin")
+    s = spans.withColumn("role", role)
+    weak = s.where("kind >= 3").select("*", bins(0, 0))
+    parts = s.select("rid", bins(scope, scope), F.col("kind").alias("k2"), F.col("role").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
     gap = F.greatest(F.col("start"), F.col("s2")) - F.least(F.col("end"), F.col("e2"))
     near = (gap <= scope) & (gap >= 0)
     over = (gap < 0) & (F.col("kind") == 4) & ~F.col("k2").isin(4)

@@ -102,3 +102,16 @@ def test_secrets_sql_matches_brute_force():
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())}))
     assert sorted(con.execute(secrets.sql()).fetchall()) == [(i, *brute(t)) for i, t in enumerate(TEXTS)]
+
+
+@pytest.mark.parametrize("size", [150, 200, 450, 1000, 20_000])
+def test_secrets_link_across_long_spans(spark, size):
+    """A part is near by the gap between its end and the next start, however long it is."""
+    blob, long_id, url = ("Zz9" * size)[:size], "client_id=" + "a-" * (size // 2), "https://api.example.com/" + "p-" * (size // 2)
+    close, far = " " * secrets.SCOPE, " " * (secrets.SCOPE + 1)
+    texts = [blob + " " * 10 + "client_id=robot", blob + close + "client_id=robot", blob + far + "client_id=robot", blob + " " * 100 + "client_id=robot" + " " * 50 + url,
+             url + " user_name: bob token=abcdefgh", url + " user_name: bob", long_id + close + "token=abcdefgh", long_id + far + "token=abcdefgh", "token=" + blob + close + long_id]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))).collect()}
+    kinds = [[x.split(":")[0] for x in got[i].split(",") if x] for i in range(len(texts))]
+    assert kinds == [["blob", "ident"], ["blob", "ident"], [], ["blob", "ident", "endpoint"], ["endpoint", "ident", "assign"], [], ["ident", "assign"], ["assign"], ["assign", "ident"]]
+    assert got[0] == f"blob:0:{size},ident:{size + 10}:{size + 25}"
