@@ -180,14 +180,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     quote stays. Pages of all URLs without a host count together.
 
     Null or empty html gives an empty text; null ids and urls and repeated rows
-    (each a page of its own) stay; an empty table gives an empty result.
+    stay; an empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "html")
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     parsed = d.mapInPandas(_parse, "page_id long, url string, subtrees array<long>, texts array<string>, chains array<array<long>>")
     parsed = scratch.table(parsed, "parsed").withColumn("host", host(F.col("url")))
-    seen = parsed.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    of = parsed.groupBy("host").agg(F.count("*").alias("pages"))
+    page = F.xxhash64(F.array_join("texts", " ")).alias("page")
+    seen = parsed.select("host", page, F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
+    of = parsed.select("host", page).groupBy("host").agg(F.count_distinct("page").alias("pages"))
     templates = seen.join(of, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
     templates = scratch.table(templates, "templates")
     row = parsed.withColumn("rid", F.monotonically_increasing_id())

@@ -133,6 +133,18 @@ def test_html_quoted_passage_stays(spark):
     assert got == {i: f"same passage own {i}" for i in range(9)}
 
 
+def test_html_copies_keep_their_text(spark):
+    """Copies of a page, under one URL or several, are one page: what they share is no template."""
+    box = "<div><p>Follow us</p> everywhere</div>"
+    page = lambda i: f"<div><section><p>story {i}</p><table><tr><td>cell {i}</td></tr></table></section></div>{box}"
+    urls = ["http://h.example/a", "http://h.example/a", "http://h.example/a#top", "http://h.example/a?utm_source=x", "http://h.example/a.html"]
+    rows = [(k, u, page(0)) for k, u in enumerate(urls * 4)] + [(100 + i, f"http://h.example/{i}", page(i)) for i in range(1, 9)]
+    rows += [(200 + k, f"http://copies.example/{k}", page(0)) for k in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "story 0 cell 0" for k in range(20)) and all(got[100 + i] == f"story {i} cell {i}" for i in range(1, 9))
+    assert all(got[200 + k] == "story 0 cell 0 Follow us everywhere" for k in range(9))
+
+
 def plain_fit(items, capacity, limit):
     """Best fit by looking at every bin."""
     bins, out = [], []
