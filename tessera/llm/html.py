@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_PAGES = 5
-MIN_SHARE = 0.01
 
 #: Elements whose text is never part of the article.
 SKIP = frozenset("head nav footer aside form button select menu dialog iframe object canvas svg audio video map datalist".split())
@@ -169,13 +168,14 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Main text of each page: ``page_id, url, text``, one row an input row.
 
     ``pages(page_id, url, html)``; other columns are not read. Each page is parsed
     once into segments with the hashes of the element subtrees around them. Spark
-    counts the pages of each (host, hash); a subtree on ``min_pages`` pages of its
-    host and ``min_share`` of them is a template, and its segments go. Paragraphs,
+    counts the distinct pages of each (host, hash), by a hash of the text that the
+    structural rules leave: copies of a page under any URLs are one. A subtree on
+    ``min_pages`` of them, whatever the host's size, is a template, and its segments go. Paragraphs,
     headings and list items are never templates, so a passage that many articles
     quote stays. Pages of all URLs without a host count together.
 
@@ -188,9 +188,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     parsed = scratch.table(parsed, "parsed").withColumn("host", host(F.col("url")))
     page = F.xxhash64(F.array_join("texts", " ")).alias("page")
     seen = parsed.select("host", page, F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
-    of = parsed.select("host", page).groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    templates = seen.join(of, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
-    templates = scratch.table(templates, "templates")
+    templates = scratch.table(seen.select("host", "hash"), "templates")
     row = parsed.withColumn("rid", F.monotonically_increasing_id())
     held = row.select("rid", "host", F.explode(F.array_distinct(F.flatten("chains"))).alias("hash"))
     hit = held.join(templates, ["host", "hash"]).groupBy("rid").agg(F.collect_set("hash").alias("drop"))

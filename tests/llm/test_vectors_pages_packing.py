@@ -145,6 +145,15 @@ def test_html_copies_keep_their_text(spark):
     assert all(got[200 + k] == "story 0 cell 0 Follow us everywhere" for k in range(9))
 
 
+@pytest.mark.parametrize("size", [20, 1500])
+def test_html_templates_whatever_the_host_size(spark, size):
+    """A subtree on 5 pages goes from a small and a large host alike, one on 4 stays on both."""
+    box = lambda i: f"<div><p>{'winter' if i < 5 else 'summer'} campaign</p></div>" if i < 9 else ""
+    rows = [(i, f"http://h.example/{i}", f"<article><p>story {i}</p><p>quoted</p>{box(i)}</article>") for i in range(size)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} quoted" + " summer campaign" * (5 <= i < 9) for i in range(size)}
+
+
 def plain_fit(items, capacity, limit):
     """Best fit by looking at every bin."""
     bins, out = [], []
