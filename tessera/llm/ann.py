@@ -51,33 +51,45 @@ def _describe(pivots: np.ndarray, longest: float, prefix: int, query: bool):
 def search_shard(queries: pd.DataFrame, rows: pd.DataFrame, k: int, pivots: int, share: float, least: int) -> pd.DataFrame:
     """The best ``k`` of one shard for a block of queries.
 
-    The shard's rows are posted under each of their pivots with their place. A
-    query adds ``prefix - max(own place, posted place)`` for each posting it meets,
-    which orders rows exactly by the footrule distance of the truncated
-    permutations; the best are ranked again by the exact inner product.
+    The shard's distinct vectors are posted under each of their pivots with their
+    place. A query adds ``prefix - max(own place, posted place)`` for each posting it
+    meets, which orders them exactly by the footrule distance of the truncated
+    permutations; the best, with all that tie with the last, are ranked again by the
+    exact inner product. Copies of a vector are expanded after that, smaller ids first.
     """
-    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    rows = rows.sort_values("vec_id", kind="stable")
+    every = np.stack(rows["embedding"].to_numpy()).astype(np.float64) + 0.0  # no negative zeros
     ids = rows["vec_id"].to_numpy()
-    perm = np.stack(rows["perm"].to_numpy()).astype(np.int64)
+    of = pd.factorize(np.array([v.tobytes() for v in every], object))[0]
+    first, copies = np.unique(of, return_index=True, return_counts=True)[1:]
+    held, start = ids[np.argsort(of, kind="stable")], np.cumsum(copies) - copies
+    x, perm = every[first], np.stack(rows["perm"].to_numpy()[first]).astype(np.int64)
     prefix = perm.shape[1]
     order = np.argsort(perm.ravel(), kind="stable")
     posted, place = (order // prefix).astype(np.int32), (prefix - order % prefix).astype(np.int16)
     begin = np.searchsorted(perm.ravel()[order], np.arange(pivots + 1))
-    take = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+    take = min(len(x), max(least, int(np.ceil(share * len(ids)))))
     out = []
     for q, v, own in zip(queries["vec_id"], queries["embedding"], queries["perm"]):
-        near = np.zeros(len(ids), np.int32)
+        near = np.zeros(len(x), np.int32)
         for i, p in enumerate(own):
             a, b = begin[p], begin[p + 1]
             near[posted[a:b]] += np.minimum(place[a:b], prefix - i)
-        best = np.argpartition(-near, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-        best = best[ids[best] != q]
+        best = np.flatnonzero(near >= np.partition(near, len(x) - take)[len(x) - take])
+        same = of[np.searchsorted(ids, q) : np.searchsorted(ids, q, "right")]  # the query's own rows
+        others = copies.copy()
+        np.subtract.at(others, same, 1)
+        best = best[others[best] > 0]
         score = (x[best] * np.asarray(v, np.float64)).sum(1)
-        if len(best) > k:  # all that tie with the k-th stay
-            last = np.partition(score, len(score) - k)[len(score) - k]
+        if others[best].sum() > k:  # all that tie with the k-th row stay
+            down = np.argsort(-score)
+            last = score[down[np.searchsorted(np.cumsum(others[best[down]]), k)]]
             best, score = best[score >= last], score[score >= last]
-        top = np.lexsort((ids[best], -score))[:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best[top]], "score": score[top]}))
+        found = [held[start[g] : start[g] + min(copies[g], k + len(same))] for g in best]
+        found = [f[f != q][:k] for f in found]
+        found, score = np.concatenate([ids[:0], *found]), np.repeat(score, [len(f) for f in found])
+        top = np.lexsort((found, -score))[:k]
+        out.append(pd.DataFrame({"query_id": q, "vec_id": found[top], "score": score[top]}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -89,8 +101,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
     smallest by a hash of the id, the only sample) are its pivots; every row is
     described by its ``prefix`` nearest pivots in order and posted under them, in
     shards of about ``ROWS_A_SHARD`` rows. Queries go in blocks against each shard,
-    ``share`` of a shard's rows (``least`` at least, so small tables are searched
-    whole) is ranked by the exact product, and the shards' best are merged.
+    as many distinct vectors as ``share`` of a shard's rows (``least`` at least, so small
+    tables are searched whole) are ranked by the exact product, and the shards' best are merged.
 
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do null ids; a query without candidates has no rows; ties go to the smaller id;

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,37 @@ def test_ann_small_and_empty(spark):
     assert [r.vec_id for r in ann.search(tied, tied.where("vec_id = 40"), 2).orderBy("rank").collect()] == [2, 3]
 
 
+def test_ann_recall_with_a_hot_group_of_copies():
+    """A third of a full shard are copies of one vector; parameters as registered."""
+    rng = np.random.default_rng(5)
+    n, dim = ann.ROWS_A_SHARD, 32
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[rng.choice(n, n // 3, replace=False)] = x[0]
+    pivots = np.hstack([x[rng.choice(n, ann.PIVOTS, replace=False)], np.zeros((ann.PIVOTS, 1))])
+    asked = np.vstack([x[0], x[0] + 0.05 * rng.standard_normal((4, dim))])
+    frame = lambda ids, v: pd.DataFrame({"vec_id": ids, "embedding": list(v), "perm": list(ann.nearest_pivots(v, np.zeros(len(v)), pivots, ann.PREFIX))})
+    rows, queries = frame(np.arange(n), x), frame(np.array([0, n, n + 1, n + 2, n + 3]), asked)
+    results = []
+    for at in (np.arange(n), rng.permutation(n)):
+        got = ann.search_shard(queries, rows.iloc[at], 20, ann.PIVOTS, ann.CANDIDATES, ann.LEAST_CANDIDATES)
+        results.append({q: list(g["vec_id"]) for q, g in got.groupby("query_id")})
+    hits = 0
+    for q, v in zip(queries["vec_id"], asked):
+        score = (x * v).sum(1)
+        want = [i for i in np.lexsort((np.arange(n), -score)) if i != q][:20]
+        hits += len(set(want) & set(results[0][q]))
+    assert results[0] == results[1] and hits / 100 >= 0.9
+
+
+def test_ann_copies_and_repeated_rows():
+    rows = pd.DataFrame({"vec_id": [5, 5, 1, 9, 9, 9, 3], "embedding": [[1.0, 0.0]] * 6 + [[2.0, -0.0]], "perm": [[0]] * 7})
+    asked = lambda q: pd.DataFrame({"vec_id": [q], "embedding": [[1.0, 0.0]], "perm": [[0]]})
+    find = lambda q, k: list(ann.search_shard(asked(q), rows, k, 1, 0.1, 1)["vec_id"])
+    assert find(5, 3) == [3, 1, 9] and find(9, 6) == [3, 1, 5, 5] and find(7, 4) == [3, 1, 5, 5]
+    assert list(ann.search_shard(asked(5), rows.iloc[:2], 3, 1, 0.1, 1)["vec_id"]) == []
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_embedding_links_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embed_dedup, "ROWS_A_BLOCK", block)
