@@ -68,7 +68,8 @@ def link(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     they or their scope cover, so spans of any length meet. Spans of a
     kind don't overlap and have 7 characters or more, so a bin holds a bounded
     number of them. A weak identifier or blob needs the other of the two; an
-    endpoint needs both. A blob over a base span is that span, not a candidate.
+    endpoint needs both. Parts inside an endpoint are near it, other parts that overlap
+    are not near. A blob over a base span is that span, not a candidate.
     """
     role = F.when(F.col("kind").isin(1, 3), 0).when(F.col("kind") == 5, 2).otherwise(1)
     bins = lambda before, after: F.explode(F.sequence(F.floor((F.col("start") - before) / scope), F.floor((F.col("end") + after) / scope))).alias("bin")
@@ -76,8 +77,8 @@ def link(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = s.where("kind >= 3").select("*", bins(0, 0))
     parts = s.select("rid", bins(scope, scope), F.col("kind").alias("k2"), F.col("role").alias("r2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
     gap = F.greatest(F.col("start"), F.col("s2")) - F.least(F.col("end"), F.col("e2"))
-    near = (gap <= scope) & (gap >= 0)
-    over = (gap < 0) & (F.col("kind") == 4) & ~F.col("k2").isin(4)
+    near = (gap <= scope) & ((gap >= 0) | ((F.col("kind") == 5) != (F.col("k2") == 5)))
+    over = (gap < 0) & (F.col("kind") == 4) & (F.col("k2") < BASE)
     met = weak.join(parts, ["rid", "bin"]).groupBy("rid", "kind", "role", "start", "end").agg(
         F.max(near & (F.col("r2") == 0)).alias("has_id"), F.max(near & (F.col("r2") == 1)).alias("has_secret"), F.max(over).alias("covered")
     )

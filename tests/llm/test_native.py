@@ -115,3 +115,13 @@ def test_secrets_link_across_long_spans(spark, size):
     kinds = [[x.split(":")[0] for x in got[i].split(",") if x] for i in range(len(texts))]
     assert kinds == [["blob", "ident"], ["blob", "ident"], [], ["blob", "ident", "endpoint"], ["endpoint", "ident", "assign"], [], ["ident", "assign"], ["assign"], ["assign", "ident"]]
     assert got[0] == f"blob:0:{size},ident:{size + 10}:{size + 25}"
+
+
+def test_secrets_link_inside_endpoints(spark):
+    """Only base spans cover a blob; what an endpoint holds is near it."""
+    blob, key = "Zz9" * 13 + "Z", "AKIA" + "A1" * 8
+    url = f"https://api.example.com/x?sig={blob}"
+    texts = [f"{key} {url}", url, f"https://api.example.com/x?client_id=robot {blob}", "user_name: bob https://api.example.com/x?token=abcdefgh", f"token={blob} user_name: bob", f"client_id={blob}"]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))).collect()}
+    kinds = [[x.split(":")[0] for x in got[i].split(",") if x] for i in range(len(texts))]
+    assert kinds == [["access", "endpoint", "blob"], [], ["endpoint", "ident", "blob"], ["ident", "endpoint", "assign"], ["assign", "ident"], []]
