@@ -136,7 +136,7 @@ PAGE = (
 
 
 def text(page):
-    return " ".join(s for s, _ in html.parse(page)[0])
+    return " ".join(html.parse(page)[0])
 
 
 def test_html_structure():
@@ -151,6 +151,75 @@ def test_html_structure():
     assert text("") == "" and text("<nav>n</nav>") == ""
 
 
+def test_html_marks_are_attributes_of_their_own():
+    for page in (
+        '<article title="the hidden cost"><p>body</article>', '<article class="post tags-news"><p>body</article>', '<article><section class="search-engines"><p>body</section></article>',
+        '<article><p data-id="share">body</article>', '<article><p data-x=\'class="ad"\'>body', '<article class="related"><p>body', '<p alt="role=banner">body', "<p title='a > b'>body", '<p class="has-sidebar">body',
+    ):
+        assert text(page) == "body", page
+    for page in (
+        '<div class="site-header menu">x</div>', "<div id=CommentList>x</div>", "<div class='cookie-banner-2'>x", '<p hidden>x</p>', '<p style="color:red; display : none">x</p>', "<div role=navigation>x</div>",
+        '<div class="comments"><article class="comment"><p>x</article></div>', '<article class="comment-body"><p>x</article>', "<div aria-hidden='true'>x</div>",
+    ):
+        assert text(page + "<p>body</p>" if page.endswith(">") else page + "</div><p>body") == "body", page
+    assert text('<p>a <span class="ad">x <span>y</span> z</span> b') == "a b"
+    assert text('<form action="/"><div><main><p>m</p></main></div><p>f</p></form>') == "m"
+    assert text("<ul><li><p>a<li><p>b</ul><dl><dt>c<dd>d</dl>") == "a b c d"
+
+
+def test_html_long_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ('<a "' * 40_000, "<a x='" * 40_000, "<div>x" * 20_000, "<div>x" * 20_000 + "</p></span>" * 20_000, "<p>x</div>" * 20_000, "<" * 200_000, "<!" * 100_000, "<b class=ad>" * 20_000 + "</b>" * 20_000, "<a  " * 40_000):
+        texts, nodes, hashes, parents = html.parse(page)
+        assert len(texts) == len(nodes) and len(hashes) == len(parents) <= page.count("<div>")
+    assert time.process_time() - began < 20
+
+
+def test_html_row_numbers_survive_another_file_split(spark):
+    rows = [(i, f"http://h.example/{i}", f"<div><p>story {i}</p></div>" + (f"<div><p>follow {i % 3}</p></div>" if i % 2 else "")) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    out = html.extract(df)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 30))
+    try:
+        got = {r.page_id: r.text for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: f"story {i}" for i in range(120)}
+
+
+def test_html_templates_match_brute_force(spark):
+    """Every subtree counted by distinct pages in plain Python; extra columns, repeated rows and nulls included."""
+    r = random.Random(4)
+    bits = ["<div><p>one</p></div>", "<section>two<div>three</div></section>", "<ul><li>four</ul>", "<div>five"]
+    rows = []
+    for i in range(150):
+        body = "".join(r.choice(bits) if r.random() < 0.6 else f"<p>own {r.randint(0, 400)}</p>" for _ in range(r.randint(0, 6)))
+        rows.append((i, r.choice(["http://a.example/x", "http://b.example/y", None, ""]), body if i % 10 else None, "t"))
+    rows += [rows[3], rows[3], (None, "http://a.example/x", rows[4][2], "t")]
+    host = lambda u: (u or "").split("/")[2] if "//" in (u or "") else ""
+    pages = defaultdict(set)
+    parsed = [html.parse(h or "") for _, _, h, _ in rows]
+    for (_, u, _, _), (texts, _, hashes, _) in zip(rows, parsed):
+        for h in hashes:
+            pages[host(u), h].add(" ".join(texts))
+    want = []
+    for (i, u, _, _), (texts, nodes, hashes, parents) in zip(rows, parsed):
+        kept = []
+        for t, k in zip(texts, nodes):
+            while k >= 0 and len(pages[host(u), hashes[k]]) < 5:
+                k = parents[k]
+            if k < 0:
+                kept.append(t)
+        want.append((i, u, " ".join(kept)))
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert got.columns == ["page_id", "url", "text"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and any(len(x) >= 5 for x in pages.values())
+
+
 def test_html_templates(spark):
     body = lambda i: f"<div><p>story {i}</p></div><div><p>Follow us</p> on every page</div>"
     rows = [(i, f"http://h.example/{i}", body(i)) for i in range(8)] + [(8, "http://other.example/1", body(8)), (9, None, None), (None, "x", ""), (10, "http://h.example/x", PAGE)]
