@@ -53,7 +53,7 @@ def _pack(capacity: int, source_limit: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         # equal rows are interchangeable, so this order gives the same bins on every run
-        pdf = pdf.assign(rest=pdf["size"] % capacity).sort_values(["rest", "doc_id", "source", "cluster", "size"], ascending=[False, True, True, True, True], na_position="last", kind="stable")
+        pdf = pdf.assign(rest=pdf["size"] % capacity).sort_values(["rest", "doc_id", "source", "cluster", "size", "m"], ascending=[False, True, True, True, True, True], na_position="last", kind="stable")
         base = int(pdf["group"].iat[0]) << 32
         source = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
         cluster = pd.factorize(pdf["cluster"], use_na_sentinel=False)[0]
@@ -85,9 +85,10 @@ def pack(docs: DataFrame, cluster=None, capacity: int = CAPACITY, source_limit:
     holds at most one piece of a duplicate cluster and ``source_limit`` pieces of
     a source. A document longer than a bin is cut into whole bins and a rest
     piece; ``start`` is the piece's first word, ``offset`` its place in the bin.
-    Rows are dealt at random but repeatably into groups of about
-    ``ROWS_A_GROUP``, and each group is packed by decreasing rest size, so no
-    source, cluster or id makes a task larger.
+    Rows are dealt into groups of about ``ROWS_A_GROUP`` by a hash of their id and text,
+    and each group is packed by decreasing rest size, so no source, cluster or id
+    makes a task larger, and the bins don't depend on how the table is partitioned. No bin
+    crosses a group.
 
     Null or empty text gives one row of size 0 without a bin; null ids, null
     sources (one source) and repeated rows (one cluster) are packed like others;
@@ -95,8 +96,12 @@ def pack(docs: DataFrame, cluster=None, capacity: int = CAPACITY, source_limit:
     """
     scratch = Scratch(docs.sparkSession, "pack")
     cluster = F.xxhash64(F.coalesce("text", F.lit(""))) if cluster is None else cluster
-    d = docs.select("doc_id", "source", cluster.cast("long").alias("cluster"), word_count(F.col("text")).alias("size"))
+    m = F.xxhash64(F.coalesce("text", F.lit("")))
+    d = docs.select("doc_id", "source", cluster.cast("long").alias("cluster"), m.alias("m"), word_count(F.col("text")).alias("size"))
+    # equal rows are counted, then numbered, so that they are dealt apart in the same way on every run
+    d = d.groupBy("doc_id", "source", "cluster", "m", "size").agg(F.count("*").alias("rows"))
     d = scratch.table(d, "items")
-    groups = max(1, -(-d.count() // ROWS_A_GROUP))
-    d = d.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    groups = max(1, -(-(d.agg(F.sum("rows")).first()[0] or 0) // ROWS_A_GROUP))
+    d = d.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    d = d.withColumn("group", F.pmod(F.xxhash64("doc_id", "m", "row"), F.lit(groups))).drop("rows", "row")
     return d.groupBy("group").applyInPandas(_pack(capacity, source_limit), SCHEMA)
