@@ -98,6 +98,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows, spans = scan(docs, scratch)
     every = spans.where(F.col("kind") < BASE).union(link(spans, scope))
     found = every.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))).alias("spans"))
+    found = scratch.table(found, "found")
+    scratch.only("rows", "found")
     out = rows.join(found, "rid", "left")
     return out.select("doc_id", "m", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("spans"))
 
@@ -136,15 +138,16 @@ s{k} as (select rid, k, (e - l)::bigint s, e::bigint e from (select *, sum(gap +
 
 
 def sql(scope: int = SCOPE) -> str:
-    """DuckDB SQL for ``digest(find_secrets(documents))``."""
+    """DuckDB SQL for ``digest(find_secrets(documents))``: every weak candidate meets all parts of its row."""
     mixed = "regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]')"
     kinds = [_matches(0, ASSIGN, 2, "len(v) >= 6"), _matches(1, ACCESS), _matches(2, HEX), _matches(3, IDENT), _matches(4, BLOB, 0, mixed), _matches(5, ENDPOINT)]
     say = f"string_agg({list(KINDS)!r}[k + 1] || ':' || s || ':' || e, ',' order by s, k, e)"
     count = lambda k: f"coalesce(count(*) filter (where k = {k}), 0)"
+    near = f"g <= {scope} and (g >= 0 or (k = 5) <> (k2 = 5))"
     return f"""with d as (select doc_id, coalesce(text, '') t, row_number() over () rid from documents), {", ".join(kinds)},
-a as (select *, case when k in (1, 3) then 0 when k = 5 then 2 else 1 end r, s // {scope} b from ({" union all ".join(f"select * from s{k}" for k in range(6))}) u),
-w as (select rid, k, r, s, e, bool_or(g between 0 and {scope} and r2 = 0) i, bool_or(g between 0 and {scope} and r2 = 1) c, bool_or(g < 0 and k = 4 and k2 <> 4) o
-  from (select a.*, p.k k2, p.r r2, greatest(a.s, p.s) - least(a.e, p.e) g from a join a p on a.rid = p.rid and abs(a.b - p.b) <= 1 where a.k >= 3) x group by 1, 2, 3, 4, 5),
+a as (select *, case when k in (1, 3) then 0 when k = 5 then 2 else 1 end r from ({" union all ".join(f"select * from s{k}" for k in range(6))}) u),
+w as (select rid, k, r, s, e, bool_or({near} and r2 = 0) i, bool_or({near} and r2 = 1) c, bool_or(g < 0 and k = 4 and k2 < {BASE}) o
+  from (select a.*, p.k k2, p.r r2, greatest(a.s, p.s) - least(a.e, p.e) g from a join a p on a.rid = p.rid where a.k >= 3) x group by 1, 2, 3, 4, 5),
 f as (select rid, k, s, e from a where k < 3 union all select rid, k, s, e from w where case when r = 0 then c when r = 1 then i and not o else i and c end),
 z as (select rid, {count(0)} n0, {count(1)} n1, {count(2)} n2, {say} filter (where k < 3) base, {say} every from f group by 1)
 select doc_id, coalesce(n0, 0)::bigint n_assign, coalesce(n1, 0)::bigint n_access, coalesce(n2, 0)::bigint n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans from d left join z using (rid)"""
