@@ -130,6 +130,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
     deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.monotonically_increasing_id()), F.lit(n)).cast("int")
     index = base.select(*cast).mapInPandas(_describe(p, longest, prefix, False), schema)
     index = scratch.table(index, "index").withColumn("shard", deal("shard", shards))
+    scratch.only("asked", "index")
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.withColumn("block", deal("block", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 

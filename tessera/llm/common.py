@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,28 +15,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a session on one machine gets a folder of its own where that is unset; a
+    cluster's executors share no local folder, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/checkpoints/tessera"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"{tempfile.gettempdir()}/checkpoints"
     return at.rstrip("/")
 
 
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
-    ``table`` writes a frame and reads it back; ``drop`` deletes one that no later
-    result reads. Tables that a returned lazy frame still reads stay until the
+    ``table`` writes a frame and reads it back; ``drop`` deletes those that no later
+    result reads, ``only`` all but some. What a returned lazy frame still reads stays until the
     folder is cleaned by its owner.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.held.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
@@ -48,6 +58,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+        self.held = [n for n in self.held if n not in names]
+
+    def only(self, *names: str) -> None:
+        self.drop(*[n for n in self.held if n not in names])
 
 
 def text_or_empty(name: str = "text"):

@@ -172,6 +172,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, projections:
         reps.select("same", "rep", "many").join(links, "same", "left").join(parts, F.col("rep") == F.col("id"), "left")
         .select("same", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "result",
     )
+    scratch.only("valid", "result")
     linked = ok.select("vec_id", "same").join(reps, "same").select("vec_id", "n_links", "component_id")
     # the rest: rows that took no part
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

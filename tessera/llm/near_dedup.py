@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     meta = d.select("doc_id", "m", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("full"))
     meta = meta.join(parts, F.col("m") == F.col("id"), "left").select("doc_id", "m", "full", F.coalesce("component", "m").alias("component"))
     meta = scratch.table(meta, "classes")
+    scratch.only("classes")
     low = meta.where("full").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     words = meta.where("full").join(low, "component").select("doc_id", "m", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
     none = meta.where("not full").select("doc_id", "m", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))

@@ -287,6 +287,7 @@ def test_pack(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, bin_id int")
     got = packing.pack(df, capacity=100).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, packing.pack(df, capacity=100).collect()), key=repr)
+    assert sorted(map(repr, got)) == sorted(map(repr, packing.pack(df.repartition(5), capacity=100).collect()))
     fill, used = Counter(), defaultdict(list)
     for x in got:
         if x.bin_id is not None:
