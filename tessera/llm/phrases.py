@@ -7,21 +7,22 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
-from .textnp import grouped, mix, shingles, text_bytes, word_hashes
+from .textnp import GOLDEN, grouped, mix, powers, shingles, text_bytes, word_hashes
 
 WINDOW = 13
 PHRASE = 4
-DOCS_A_BLOCK = 2048
+#: The shards of the automata are so many that each has about so many patterns and so many stretches pass it; a key gives it no more.
+STRETCHES_A_SHARD, PATTERNS_A_SHARD = 40_000, 15_000
+LETTERS, FIRST_LETTER = 128, 0x100
 LAST = 2**63 - 1
 
 
-def anchors(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrase key of every position; for every window its anchor's position and whether it lies in one text.
 
     A key packs 16 bits of each of ``PHRASE`` words. A window's anchor is the phrase
@@ -30,7 +31,7 @@ def anchors(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tuple
     """
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     c = words >> np.uint64(48)
     key = c[:-3] << np.uint64(48) | c[1:-2] << np.uint64(32) | c[2:-1] << np.uint64(16) | c[3:]
     order = mix(key)
@@ -40,122 +41,156 @@ def anchors(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tuple
         best[less] = order[j : n + j][less]
         at[less] = j
     end = np.repeat(np.cumsum(count), count)
-    return key, np.arange(n) + at, np.arange(window, n + window) <= end[:n], best
+    return key, np.arange(n) + at, np.arange(window, n + window) <= end[:n]
 
 
 def _anchor_rows(window: int):
+    """A row for each stretch of a text, the windows in a row that have one anchor: the anchor's key and a hash of the stretch's words."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = text_bytes(b.column(2))
+            ids, tags, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), text_bytes(b.column(2))
             for group in grouped(texts):
                 words, count = word_hashes([texts[i] for i in group])
-                key, at, ok, _ = anchors(words, count, window)
-                if not ok.any():
+                key, at, ok = anchors(words, count, window)
+                w = np.flatnonzero(ok)
+                if not len(w):
                     continue
-                at = np.unique(at[ok])
-                doc = np.searchsorted(np.cumsum(count), at, "right")
-                pair = np.unique(np.rec.fromarrays([doc, key[at]]))
-                who = np.asarray(group)[pair["f0"]]
-                yield pa.RecordBatch.from_arrays([pa.array(pair["f1"].view(np.int64)), pa.array(ids[who]), pa.array(tags[who])], ["key", "d", "m"])
+                first = np.flatnonzero(np.concatenate(([True], at[w][1:] != at[w][:-1])))
+                n = np.diff(np.append(first, len(w)))
+                start = w[first]
+                total = np.concatenate(([np.uint64(0)], np.cumsum(words * powers(len(words), GOLDEN))))
+                f = (total[start + n + window - 1] - total[start]) * powers(len(words), pow(GOLDEN, -1, 1 << 64))[start]
+                f = mix(f + mix((at[start] - start).astype(np.uint64) * np.uint64(64) + n.astype(np.uint64)))
+                doc = np.searchsorted(np.cumsum(count), start, "right")
+                who = np.asarray(group)[doc]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[at[start]].view(np.int64)), pa.array(f.view(np.int64)), pa.array(ids[who]), pa.array(tags[who]), pa.array((start - (np.cumsum(count) - count)[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["key", "f", "d", "m", "start", "n"],
+                )
 
     return rows
 
 
-def _spell(parts: np.ndarray) -> str:
-    """16-bit words as four letters each of an alphabet of 16, so that no node of an automaton has many children."""
-    nibbles = parts.astype(np.uint16)[:, None] >> np.array([12, 8, 4, 0], np.uint16) & np.uint16(15)
-    return (nibbles.astype(np.uint8) + np.uint8(97)).tobytes().decode("ascii")
+def _cut(window: int):
+    """The words of some stretches of a text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one in range(b.num_rows):
+                parts = b.column(0)[one].as_py().encode().split()
+                spans = b.column(1)[one].values
+                words = [b" ".join(parts[a : a + k + window - 1]) for a, k in zip(spans.field("start").to_pylist(), spans.field("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(spans.field(k) for k in ("key", "f", "lo", "hi")), pa.array(words, pa.binary())], ["key", "f", "lo", "hi", "words"])
+
+    return cut
+
+
+def _windows(window: int):
+    """A hash of each window of the stretches, with the ids that the stretch is in, and its place: the stretch's number, its last bits the window's."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo, hi, sid, texts = *(b.column(k).to_numpy() for k in range(3)), text_bytes(b.column(3))
+            for group in grouped(texts):
+                words, count = word_hashes([texts[i] for i in group])
+                h, ok = shingles(words, count, window)
+                at = np.flatnonzero(ok)
+                one = np.searchsorted(np.cumsum(count), at, "right")
+                who = np.asarray(group)[one]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(lo[who]), pa.array(hi[who]), pa.array(sid[who] | (at - (np.cumsum(count) - count)[one]))], ["h", "lo", "hi", "place"])
+
+    return windows
 
 
-def automaton(keys: np.ndarray) -> ahocorasick.Automaton:
+def automaton(patterns: list[list[bytes]]):
+    """An Aho-Corasick automaton over whole words that knows ``patterns``, and the spelling of words for it.
+
+    Each word of the patterns is a number, spelled in as many of ``LETTERS`` letters
+    as the numbers need, so that no node has very many children; every other word
+    is the number 0.
+    """
+    number = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for p in patterns for w in p))}
+    width = 1
+    while LETTERS**width <= len(number):
+        width += 1
+    spell = {w: "".join([chr(FIRST_LETTER + i // LETTERS**k % LETTERS) for k in range(width)]) for w, i in number.items()}
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    parts = keys.view(np.uint64)[:, None] >> np.array([48, 32, 16, 0], np.uint64) & np.uint64(0xFFFF)
-    text, n = _spell(parts.ravel()), 4 * PHRASE
-    for i in range(len(keys)):
-        a.add_word(text[n * i : n * (i + 1)], 1)
+    for i, p in enumerate(patterns):
+        a.add_word("".join([spell[w] for w in p]), i)
     a.make_automaton()
-    return a
+    return a, spell, width
 
 
-def occurrences(a: ahocorasick.Automaton, words: np.ndarray) -> np.ndarray:
-    """Positions of the words at which a pattern starts."""
-    stop = np.fromiter((e for e, _ in a.iter(_spell(words >> np.uint64(48)))), np.int64) + 1
-    return np.unique(stop[stop % 4 == 0] // 4 - PHRASE)
+def occurrences(patterns: list[list[bytes]], texts: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every place where a pattern of ``window`` words starts in the texts: text, word, pattern; in order of text and word."""
+    if not patterns:
+        return (np.zeros(0, np.int64),) * 3
+    a, spell, width = automaton(patterns)
+    other = chr(FIRST_LETTER) * width
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])  # an unknown word parts the texts
+    stream = other.join(["".join([spell.get(w, other) for w in t]) for t in texts])
+    hits = np.array(list(a.iter(stream)), np.int64).reshape(-1, 2)
+    stop = hits[:, 0] + 1
+    whole = stop % width == 0
+    first = stop[whole] // width - window
+    text = np.searchsorted(begin, first, "right") - 1
+    return text, first - begin[text], hits[whole, 1]
 
 
 def _locate(window: int):
-    def locate(left: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        keys = left["x"][left["kind"] == 0].to_numpy()
-        if len(keys) and len(docs):
-            own = left[left["kind"] == 1]
-            reps = set(zip(own["x"], own["y"]))
-            docs = docs[[x in reps for x in zip(docs["d"], docs["m"])]]
-            a = automaton(keys)
-            texts = [t.encode() for t in docs["text"]]
-            ids, tags = docs["d"].to_numpy(), docs["m"].to_numpy()
-            for group in grouped(texts):
-                words, count = word_hashes([texts[i] for i in group])
-                _, at, ok, _ = anchors(words, count, window)
-                if not ok.any():
-                    continue
-                hit = np.zeros(len(words), bool)
-                hit[occurrences(a, words)] = True
-                w = np.flatnonzero(ok & hit[at])
-                h = shingles(words, count, window)[0][w]
-                doc = np.searchsorted(np.cumsum(count), w, "right")
-                pair = np.unique(np.rec.fromarrays([doc, h]))
-                who = np.asarray(group)[pair["f0"]]
-                out.append(pd.DataFrame({"h": pair["f1"].view(np.int64), "d": ids[who], "m": tags[who]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"h": [], "d": [], "m": []}).astype("int64")
+    """A shard: its patterns' automaton, passed by its stretches; runs of located windows with their owner."""
+    names = ["key", "f", "at", "n", "owner"]
+
+    def locate(known: pa.Table, stretches: pa.Table) -> pa.Table:
+        patterns, owner = [], []
+        for lo, text, places in zip(*(known.column(c).to_pylist() for c in ("lo", "words", "at"))):
+            parts = text.split()
+            patterns += [parts[i : i + window] for i in places]
+            owner += [lo] * len(places)
+        one, at, which = occurrences(patterns, [t.split() for t in stretches.column("words").to_pylist()], window)
+        owner = np.asarray(owner, np.int64)[which]
+        first = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])))) if len(one) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(one)))
+        one, at, owner = one[first], at[first], owner[first]
+        key, f = (stretches.column(c).to_numpy()[one] for c in ("key", "f"))
+        return pa.Table.from_arrays([pa.array(key), pa.array(f), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(owner)], names)
 
     return locate
 
 
-def keep_words(text: bytes, flags, window: int = WINDOW) -> tuple[int, int, bytes]:
-    """Number of words, number removed, and the kept words joined by one space."""
+def keep_words(text: bytes, runs, window: int = WINDOW) -> tuple[int, int, bytes]:
+    """Number of words, number removed, and the kept words joined by one space; ``runs`` are (first window, windows in a row) to remove."""
     parts = text.split()
-    if flags is None or not len(flags) or len(parts) < window:
-        return len(parts), 0, b" ".join(parts)
-    words, count = word_hashes([text])
-    h, _ = shingles(words, count, window)
-    hit = np.isin(h, np.asarray(flags, np.int64).view(np.uint64))
     edge = np.zeros(len(parts) + 1, np.int64)
-    edge[: len(h)] += hit
-    edge[window : window + len(h)] -= hit
+    for start, n in runs:
+        edge[start] += 1
+        edge[start + n + window - 1] -= 1
     gone = np.cumsum(edge[:-1]) > 0
-    return len(parts), int(gone.sum()), b" ".join([p for p, g in zip(parts, gone) if not g])
+    return len(parts), int(gone.sum()), b" ".join([p for p, g in zip(parts, gone) if not g] if gone.any() else parts)
 
 
-def _finish(window: int):
+def _finish(window: int, digest: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, copy, flags = b.column(0), b.column(2), b.column(3)
-            texts = text_bytes(b.column(1))
             rows = []
-            for i in range(b.num_rows):
-                text = texts[i]
-                if copy[i].as_py():  # a smaller id has the same text
+            for text, copy, runs in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3)):
+                if copy:  # a smaller id has the same text
                     n = len(text.split())
-                    rows.append((n, n, b"") if n >= window else (n, 0, b" ".join(text.split())))
+                    runs = [(0, n - window + 1)] if n >= window else []
                 else:
-                    f = flags[i]
-                    rows.append(keep_words(text, f.values.to_numpy() if f.is_valid else None, window))
+                    runs = zip(*(runs.values.field(k).to_pylist() for k in ("start", "n"))) if runs.is_valid else []
+                n, gone, kept = keep_words(text, runs, window)
+                rows.append((n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+            cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].decode() for r in rows], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_text"],
+                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
             )
 
     return finish
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sha = [hashlib.sha256(t.encode()).hexdigest() for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """Each text without the words of windows that also start in a document of a smaller id.
 
@@ -163,47 +198,74 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     n_words, n_removed`` and ``kept_text``, the kept words joined by one space, or
     with ``digest`` its ``kept_sha256``; one row an input row.
 
-    Every window has an anchor phrase that depends on its words alone. Anchors in
-    two different texts or more are the confirmed recurring ones; all others are
-    out. Documents are dealt into blocks by hash. A task compiles the recurring phrases of
-    one block into its shard of the automata and streams the block's whole
-    documents through it; windows around the located phrases are compared
-    over all blocks by their hash: the smallest id that has one owns it. Copies of a whole
-    text are settled by the smallest id of that text, which alone is located.
-
-    Null text has no words; a null id counts as larger than any other; rows of the
-    same id don't remove each other's words; an empty table gives an empty result.
+    Every window has an anchor phrase that depends on its words alone; a text whose
+    anchor no other text has cannot repeat there. Around the anchors that recur, the
+    documents' stretches (the windows in a row with that anchor) are cut out, one copy of
+    each. Windows that start in two documents or more, counted over the whole corpus, are the
+    confirmed passages; each belongs to its smallest id, whose words are the
+    pattern. Patterns are dealt by anchor into shards and compiled into automata of
+    bounded size, and all stretches with those anchors pass them: what an
+    automaton locates goes at each place of the stretch whose document does not own it.
+    An anchor of very many stretches is dealt over several shards that all know its
+    patterns; one of very many patterns over several shards that all its stretches pass.
+
+    Copies of a whole text are settled by the smallest id of that text, which alone is
+    read. Null text has no words; a null id counts as larger than any
+    other; rows of the same id don't remove each other's words; an empty table gives
+    an empty result.
     """
     scratch = Scratch(docs.sparkSession, "phrases")
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_or_empty().alias("text")).withColumn("m", F.xxhash64("text"))
-    found = scratch.table(d.select("d", "m", "text").mapInArrow(_anchor_rows(window), "key long, d long, m long"), "anchors")
     meta = scratch.table(d.select("d", "m").distinct(), "meta")
-    owners = scratch.table(meta.groupBy("m").agg(F.min("d").alias("owner")), "owners")
+    many = scratch.table(meta.groupBy("m").agg(F.min("d").alias("owner"), F.count("*").alias("ids")).where("ids > 1").select("m", "owner").coalesce(8), "copies")
+    rep = d.join(many, "m", "left").where(F.col("owner").isNull() | (F.col("owner") == F.col("d"))).select("d", "m", "text")
+    found = scratch.table(rep.mapInArrow(_anchor_rows(window), "key long, f long, d long, m long, start int, n int"), "anchors")
     shared = scratch.table(found.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("key"), "shared")
     scratch.free()
-    blocks = max(1, -(-owners.count() // DOCS_A_BLOCK))
-    block = F.pmod(F.xxhash64("d", "m"), F.lit(blocks)).alias("block")
-    rep = owners.select(F.col("owner").alias("d"), "m")
-    keys = found.join(shared, "key").join(rep, ["d", "m"], "left_semi").select(block, "key").distinct()
-    keys = scratch.table(keys, "patterns")
+    found = scratch.table(found.join(shared, "key"), "recurring")
     scratch.drop("anchors", "shared")
     scratch.free()
-    # a block's patterns (kind 0) and the rows that are located there (kind 1)
-    left = keys.select("block", F.lit(0).alias("kind"), F.col("key").alias("x"), F.lit(0).cast("long").alias("y"))
-    left = left.union(rep.select(block, F.lit(1), "d", "m"))
-    seen = left.groupBy("block").cogroup(d.select(block, "d", "m", "text").groupBy("block")).applyInPandas(_locate(window), "h long, d long, m long")
-    seen = scratch.table(seen, "windows")
-    scratch.drop("patterns")
+    each = found.groupBy("key", "f").agg(F.min(F.struct("d", "m", "start", "n")).alias("at"), F.max("d").alias("hi"))
+    todo = each.groupBy("at.m").agg(F.collect_list(F.struct("key", "f", F.col("at.d").alias("lo"), "hi", "at.start", "at.n")).alias("spans"))
+    cut = rep.select("m", "text").join(todo, "m").select("text", "spans").mapInArrow(_cut(window), "key long, f long, lo long, hi long, words binary")
+    # the last bits of a stretch's number are left for its windows
+    low = (1 << (window - PHRASE).bit_length()) - 1
+    cut = scratch.table(cut.withColumn("sid", F.xxhash64("key", "f").bitwiseAND(F.lit(~low))), "stretches")
+    scratch.free()
+    places = cut.select("lo", "hi", "sid", "words").mapInArrow(_windows(window), "h long, lo long, hi long, place long")
+    owned = places.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("place", "lo").alias("place")).where("lo <> hi")
+    owned = owned.select(F.col("place").bitwiseAND(F.lit(~low)).alias("sid"), F.col("place").bitwiseAND(F.lit(low)).cast("int").alias("at")).groupBy("sid").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    known = scratch.table(cut.join(owned, "sid").select("key", "f", "lo", "words", "at"), "patterns")
+    scratch.free()
+    # anchors of more stretches or patterns than a shard's go to several: all others have one part of each
+    part = lambda n, most: F.ceil(F.coalesce(n, F.lit(0)) / F.lit(float(most))).cast("int")
+    wide = cut.groupBy("key").agg(F.count("*").alias("stretches")).join(known.groupBy("key").agg(F.sum(F.size("at")).alias("patterns")), "key")
+    wide = wide.select("key", part(F.col("stretches"), STRETCHES_A_SHARD).alias("salts"), part(F.col("patterns"), PATTERNS_A_SHARD).alias("leaves")).where("salts > 1 or leaves > 1")
+    wide = scratch.table(wide.coalesce(8), "wide")
+    patterns = known.agg(F.sum(F.size("at"))).first()[0] or 0
+    shards = max(1, -(-cut.count() // STRETCHES_A_SHARD), -(-patterns // PATTERNS_A_SHARD))
+
+    def deal(rows: DataFrame, own: str, other: str) -> DataFrame:
+        n = lambda c: F.coalesce(c, F.lit(1))
+        rows = rows.join(wide, "key", "left").withColumn("own", F.pmod(F.xxhash64("f"), n(F.col(own))).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n(F.col(other)) - 1)))
+        salt, leaf = ("own", "other") if own == "salts" else ("other", "own")
+        return rows.withColumn("shard", F.pmod(F.xxhash64("key", salt, leaf), F.lit(shards)))
+
+    passing = deal(cut.select("key", "f", "words"), "salts", "leaves").select("shard", "key", "f", "words")
+    known = deal(known, "leaves", "salts").select("shard", "lo", "words", "at")
+    seen = known.groupBy("shard").cogroup(passing.groupBy("shard")).applyInArrow(_locate(window), "key long, f long, at int, n int, owner long")
+    seen = scratch.table(seen, "located")
+    scratch.drop("stretches", "patterns", "wide")
     scratch.free()
-    first = seen.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h", "lo")
-    flags = seen.join(first, "h").where("lo < d").groupBy("d", "m").agg(F.collect_set("h").alias("flags"))
-    info = meta.join(owners, "m").select("d", "m", (F.col("owner") < F.col("d")).alias("copy")).join(flags, ["d", "m"], "left")
+    gone = found.select("key", "f", "d", "m", "start").join(seen, ["key", "f"]).where("owner < d").select("d", "m", (F.col("start") + F.col("at")).alias("start"), "n")
+    runs = gone.groupBy("d", "m").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    info = meta.join(many, "m", "left").select("d", "m", F.coalesce(F.col("owner") < F.col("d"), F.lit(False)).alias("copy")).join(runs, ["d", "m"], "left")
     info = scratch.table(info, "info")
-    scratch.drop("windows", "meta", "owners")
+    scratch.drop("recurring", "located", "meta", "copies")
     scratch.free()
-    out = d.join(info, ["d", "m"]).select("doc_id", "text", "copy", "flags")
-    out = out.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string") if digest else out
+    out = d.join(info, ["d", "m"]).select("doc_id", "text", "copy", "runs")
+    return out.mapInArrow(_finish(window, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
 
 
 #: DuckDB SQL for ``remove_repeats`` with its digest, where ids are unique.

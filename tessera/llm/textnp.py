@@ -35,25 +35,37 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x2545F4914F6CDD1D
-_UP, _DOWN = powers(1 << 16, _BASE), powers(1 << 16, pow(_BASE, -1, 1 << 64))
+_BACK = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = powers(PIECE, _BASE), powers(PIECE, _BACK)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word (bytes, unchanged), and each text's number of words."""
-    global _UP, _DOWN
+    """A 64-bit hash of every word (bytes, unchanged), and each text's number of words.
+
+    A word's hash is a polynomial of its bytes, read off prefix sums that are made
+    ``PIECE`` bytes at a time, so the tables of powers don't grow with a text.
+    """
     data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-    if len(data) >= len(_UP):
-        n = 1 << int(len(data)).bit_length()
-        _UP, _DOWN = powers(n, _BASE), powers(n, pow(_BASE, -1, 1 << 64))
     space = SPACE[data]
     begin = np.flatnonzero(~space[1:] & space[:-1]) + 1
     end = np.flatnonzero(space[1:] & ~space[:-1]) + 1
     at = np.cumsum([1] + [len(t) + 1 for t in texts])
     count = np.diff(np.searchsorted(begin, at))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data + np.uint64(1)) * _UP[: len(data)], out=total[1:])
-    return mix((total[end] - total[begin]) * _DOWN[begin]), count
+    low, high = np.empty(len(begin), np.uint64), np.empty(len(end), np.uint64)
+    carry, back = np.uint64(0), np.empty(len(begin), np.uint64)
+    for lo in range(0, len(data), PIECE):
+        part = data[lo : lo + PIECE]
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((part + np.uint64(1)) * _UP[: len(part)], out=total[1:])
+        total = total * np.uint64(pow(_BASE, lo, 1 << 64)) + carry
+        carry = total[-1]
+        i, j = np.searchsorted(begin, [lo, lo + len(part)])
+        low[i:j] = total[begin[i:j] - lo]
+        back[i:j] = _DOWN[begin[i:j] - lo] * np.uint64(pow(_BACK, lo, 1 << 64))
+        i, j = np.searchsorted(end, [lo, lo + len(part)])
+        high[i:j] = total[end[i:j] - lo]
+    return mix((high - low) * back), count
 
 
 def shingles(words: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +81,12 @@ def shingles(words: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(h), np.arange(k, n + k) <= end[:n]
 
 
-def grouped(texts: list[bytes]) -> Iterator[list[int]]:
-    """Indexes of texts in groups of about ``PIECE`` bytes; a longer text is alone."""
+def grouped(texts: list[bytes], most: int = PIECE) -> Iterator[list[int]]:
+    """Indexes of texts in groups of about ``most`` bytes; a longer text is alone."""
     group: list[int] = []
     size = 0
     for i, t in enumerate(texts):
-        if group and size + len(t) > PIECE:
+        if group and size + len(t) > most:
             yield group
             group, size = [], 0
         group.append(i)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import phrases
@@ -43,9 +44,10 @@ def corpus(seed=1, n=60):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(phrases, "DOCS_A_BLOCK", block)
+@pytest.mark.parametrize("size", [40_000, 3])
+def test_matches_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(phrases, "STRETCHES_A_SHARD", size)
+    monkeypatch.setattr(phrases, "PATTERNS_A_SHARD", size)
     rows = corpus()
     df = spark.createDataFrame([(i, t, 5, "x", "y") for i, t in rows], SCHEMA)
     got = phrases.remove_repeats(df, digest=True)
@@ -61,6 +63,26 @@ def test_long_text_and_empty_table(spark):
     assert phrases.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def nothing(known, passing):
+    kinds = [("key", pa.int64()), ("f", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("owner", pa.int64())]
+    return pa.Table.from_arrays([pa.array([], k) for _, k in kinds], [n for n, _ in kinds])
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    """Without what the automata locate, only copies of whole texts go."""
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert phrases.remove_repeats(df).where("n_removed > 0 and n_removed < n_words").count() > 10
+    monkeypatch.setattr(phrases, "_locate", lambda window: nothing)
+    assert phrases.remove_repeats(df).where("n_removed > 0 and n_removed < n_words").count() == 0
+
+
+def test_occurrences():
+    a, b = [b"x", b"y", b"z"], [b"y", b"z", b"q"]
+    texts = [[b"x", b"y", b"z", b"q"], [], [b"other"], [b"z", b"x", b"y", b"z"]]
+    assert [x.tolist() for x in phrases.occurrences([a, b], texts, 3)] == [[0, 0, 3], [0, 1, 1], [0, 1, 0]]
+    assert phrases.occurrences([], texts, 3)[0].tolist() == []
+
+
 def test_hashes_depend_on_words_only():
     a, n = word_hashes([b" one two\x0bthree ", b"", b"two three"])
     assert n.tolist() == [3, 0, 2] and a[1] == a[3] and a[2] == a[4] and len(set(a.tolist())) == 3
