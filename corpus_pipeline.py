@@ -25,7 +25,11 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the network, trained on the labelled ones, doesn't reject."""
+    """Rows that the network, trained on the labelled ones, doesn't reject, with their own columns.
+
+    Null and empty texts are clean; repeated rows and null ids are judged by their text; an
+    empty table stays empty.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
@@ -68,8 +72,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of words; the epochs of a document are one cluster and never share a bin."""
-    return packing.pack(docs)
+    """Bins of words; the epochs of a document, the cut one too, are one cluster and never share a bin.
+
+    Rows of a null id are clusters by their text. Null or empty texts get no bin; other
+    columns are not read; an empty table gives no bins.
+    """
+    cluster = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    return packing.pack(docs, cluster)
 
 
 STAGES = [("toxicity", toxic), ("near_dedup", near), ("secrets", secret), ("mix", mixed), ("pack", packed)]
