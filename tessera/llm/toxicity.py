@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+import io
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textnp import SPACE, grouped, powers
+from .textnp import SPACE, grouped, word_hashes
 
 WINDOW = 64
-STRIDE = 48
+STRIDE = 32
 HIDDEN = 8
 WORD_ROWS, CHAR_ROWS, WIDTH = 1 << 15, 1 << 13, 8
-#: The bound of the labelled sample that the model is fitted on: rows of each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
+#: The bound of the labelled sample that the model is fitted on: rows of each label, bytes of a text, bytes of each label's texts.
+SAMPLE_TOXIC, SAMPLE_CLEAN, TEXT_BYTES, SAMPLE_BYTES = 1200, 2400, 1 << 20, 24 << 20
 EPOCHS, NOISY, BATCH, RATE = 9, 0.3, 256, 0.012
-CALIBRATION, CALIBRATE_FROM = 0.25, 3000
-LEAST_STEPS, WORD_DROP, DECAY = 250, 0.4, 2e-3
+#: The share of the sample that the network doesn't see and the last regression is fitted on, and the least number of steps.
+CALIBRATION, LEAST_STEPS = 0.25, 180
+WORD_DROP, DECAY = 0.4, 2e-3
 FLOOR = -12.0
+#: Bytes of a long text whose windows are computed at once.
 PIECE = 400_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_PRIME = np.uint64(0x100000001B3)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class Words:
@@ -35,31 +38,27 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         parts = [self._read([texts[i] for i in group]) for group in grouped(texts)] or [self._read([])]
-        self.count, self.bucket, self.gram, self.grams = (np.concatenate(x) for x in zip(*parts))
+        self.count, self.bucket, self.gram, self.grams, self.begin = (np.concatenate(x) for x in zip(*parts))
         self.first = np.cumsum(self.grams) - self.grams
 
     @staticmethod
     def _read(texts: list[bytes]) -> tuple:
-        data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n\n\n\n", np.uint8)
-        low, space = _LOWER[data], SPACE[data]
+        low = [t.lower() for t in texts]  # ASCII letters alone
+        hashes, count = word_hashes(low)
+        data = np.frombuffer(b"\n" + b"\n".join(low) + b"\n\n\n\n", np.uint8)
+        space = SPACE[data]
         begin = np.flatnonzero(~space[1:] & space[:-1]) + 1
         end = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        at = np.cumsum([1] + [len(t) + 1 for t in texts])
-        count = np.diff(np.searchsorted(begin, at))
-        up, down = powers(len(low) + 1, int(_PRIME)), powers(len(low) + 1, pow(int(_PRIME), -1, 1 << 64))
-        total = np.concatenate(([np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1])))
-        h = (total[end] - total[begin]) * down[begin]
-        h ^= h >> np.uint64(29)
-        bucket = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int32)
-        low = np.where(space, np.uint8(32), low).astype(np.uint32)
-        gram = low[:-3] | low[1:-2] << 8 | low[2:-1] << 16 | low[3:] << 24
+        bucket = (hashes >> np.uint64(49)).astype(np.int32)
+        data = np.where(space, np.uint8(32), data).astype(np.uint32)
+        gram = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
         short = begin[end - begin == 1] - 1
         gram[short] &= np.uint32(0xFFFFFF)
         valid = ~space[1:-2] & ~space[2:-1]
         valid[short] = True
         at = np.flatnonzero(valid)
         gram = ((gram[at] * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int32)
-        return count, bucket, gram, np.maximum(end - begin - 1, 1)
+        return count, bucket, gram, np.maximum(end - begin - 1, 1), begin - 1
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +121,7 @@ def _attend(m: dict, h: np.ndarray, mask: np.ndarray | None):
     return e, alpha, c, c @ m["w"] + m["o"][0]
 
 
-def window_logits(m: dict, texts: list[bytes], chunk: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logit, text and first word of every window of the texts."""
-    w = Words(texts)
-    start, length, text = windows(w.count)
+def _logits(m: dict, w: Words, start: np.ndarray, length: np.ndarray, chunk: int = 2048) -> np.ndarray:
     x = _inputs(m, w)
     x = np.hstack([x @ m["Wf"] + m["cf"], x @ m["Wb"] + m["cb"]])
     out = np.empty(len(start), np.float32)
@@ -139,47 +135,70 @@ def window_logits(m: dict, texts: list[bytes], chunk: int = 2048) -> tuple[np.nd
             p = x[start[at] + (t if mask is None else np.minimum(t, length[at] - 1))]
             h = np.concatenate([_recur(m, "f", p[..., : 3 * HIDDEN], mask, None), _recur(m, "b", p[..., 3 * HIDDEN :], mask, None)], 2)
             out[at] = _attend(m, h, mask)[3]
-    return out, text, start
+    return out
+
+
+def _long_logits(m: dict, t: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and first word of every window of one long text, the same windows as of a short one.
+
+    The text is read a piece at a time; what stays of a piece begins with its last
+    window's first word, so that the last window of the text always finds its words.
+    """
+    at, held, word, nxt, logits, starts = 0, b"", 0, 0, [], []
+    while True:
+        cut = at + PIECE
+        gap = _SPACE.search(t, cut) if cut < len(t) else None
+        cut = gap.start() if gap else len(t)
+        held += t[at:cut]
+        at = cut
+        w = Words([held])
+        n = int(w.count[0])
+        start = np.arange(nxt, n - WINDOW + 1, STRIDE)
+        if at == len(t):
+            end = max(0, n - WINDOW)
+            if n and (len(start) and start[-1] < end or not len(start) and (nxt == 0 or end > nxt - STRIDE)):
+                start = np.append(start, end)
+        if len(start):
+            logits.append(_logits(m, w, start, np.minimum(n - start, WINDOW)))
+            starts.append(start + word)
+        if at == len(t):
+            break
+        back = int(start[-1]) if len(start) else max(0, nxt - STRIDE)
+        nxt = int(start[-1]) + STRIDE - back if len(start) else nxt - back
+        held = held[int(w.begin[back]) :] if n else b""
+        word += back
+    return np.concatenate([np.zeros(0, np.float32), *logits]), np.concatenate([np.zeros(0, np.int64), *starts])
+
+
+def window_logits(m: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logit, text and first word (within its text) of every window, in order of text and word."""
+    out = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for group in grouped(texts, PIECE):
+        if len(group) == 1 and len(texts[group[0]]) > PIECE:
+            logit, start = _long_logits(m, texts[group[0]])
+            out.append((logit, np.full(len(start), group[0]), start))
+        else:
+            w = Words([texts[i] for i in group])
+            start, length, text = windows(w.count)
+            out.append((_logits(m, w, start, length), np.asarray(group)[text], start - (np.cumsum(w.count) - w.count)[text]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def text_features(m: dict, texts: list[bytes]) -> np.ndarray:
-    """For each text: its best window's logit, the best that doesn't overlap that window, and log of its words."""
+    """For each text: its best window's logit, the best that doesn't overlap that window, and log of its windows."""
     out = np.full((len(texts), 3), FLOOR)
-    pieces: list[tuple[int, bytes]] = []
-    for i, t in enumerate(texts):
-        while len(t) > PIECE:  # a very long text goes in pieces that share a window's words
-            head = t[:PIECE]
-            cut = max(head.rfind(b" "), head.rfind(b"\n"))
-            cut = cut if cut > PIECE // 2 else PIECE
-            pieces.append((i, t[:cut]))
-            back = b" ".join(t[max(0, cut - 4 * WINDOW * 16) : cut].split()[-(WINDOW - 1) :])
-            t = back + b" " + t[cut:] if len(back) < PIECE // 4 else t[cut:]
-        pieces.append((i, t))
-    words = np.zeros(len(texts))
-    k = 0
-    while k < len(pieces):
-        size, group = 0, []
-        while k < len(pieces) and (not group or size + len(pieces[k][1]) <= PIECE):
-            group.append(pieces[k])
-            size += len(pieces[k][1])
-            k += 1
-        logit, text, start = window_logits(m, [t for _, t in group])
-        if not len(logit):
-            continue
+    out[:, 2] = 0
+    logit, text, start = window_logits(m, texts)
+    if len(logit):
         first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        best = np.maximum.reduceat(logit, first)
         many = np.diff(np.append(first, len(text)))
-        at = np.repeat(best, many) == logit
-        where = np.full(len(texts) + len(group), -1)
-        where[text[at][::-1]] = start[at][::-1]
+        best = np.maximum.reduceat(logit, first)
+        place = np.flatnonzero(np.repeat(best, many) == logit)
+        where = np.zeros(len(texts), np.int64)
+        where[text[place][::-1]] = start[place][::-1]  # the first of equals
         apart = np.abs(start - where[text]) >= WINDOW
         second = np.maximum.reduceat(np.where(apart, logit, FLOOR), first)
-        for j, b, s, n in zip(text[first], best, second, many):
-            i = group[j][0]
-            hi, lo = out[i, 0], out[i, 1]
-            out[i, 0], out[i, 1] = max(hi, b), max(lo, s, min(hi, b))
-            words[i] += n
-    out[:, 2] = np.log1p(words)
+        out[text[first]] = np.stack([best, second, np.log1p(many)], 1)
     return np.clip(out, FLOOR, -FLOOR)
 
 
@@ -242,10 +261,10 @@ def train(texts: list[bytes], labels: np.ndarray, total: tuple[int, int] | None
 
     The first epochs give every sampled window its text's label; in the others a
     text is judged by its best windows, found by scoring all its windows. A logistic
-    regression on the best, the best apart from it and the length then maps texts
-    to scores. It is fitted on a part of the sample that the network hasn't seen (of
-    ``CALIBRATE_FROM`` texts or more), with classes weighted to ``total``, the clean and toxic rows
-    that the sample stands for.
+    regression on the best, the best apart from it and the number of windows then maps texts
+    to scores. It is fitted on the share ``CALIBRATION`` of each label's texts, which the
+    network hasn't seen (all texts where a label has only one), with classes weighted to ``total``,
+    the clean and toxic rows that the sample stands for.
     """
     m = new_model(seed)
     labels = np.asarray(labels, np.float32)
@@ -254,10 +273,12 @@ def train(texts: list[bytes], labels: np.ndarray, total: tuple[int, int] | None
         m["scale"] = np.array([[0.0, 0, 0], [1, 1, 1]])
         return m
     r = np.random.default_rng(seed)
-    apart = r.random(len(texts)) < CALIBRATION
-    if len(texts) < CALIBRATE_FROM or not 0 < labels[apart].mean() < 1 or not 0 < labels[~apart].mean() < 1:
+    apart = np.zeros(len(texts), bool)
+    for x in (labels > 0, labels <= 0):
+        apart[r.permutation(np.flatnonzero(x))[: int(np.ceil(CALIBRATION * x.sum())) if x.sum() > 1 else 0]] = True
+    if not 0 < labels[apart].sum() < apart.sum():
         apart[:] = False
-    held, held_labels = [t for t, x in zip(texts, apart) if x], labels[apart]
+    held, held_labels = ([t for t, x in zip(texts, apart) if x], labels[apart]) if apart.any() else (texts, labels)
     texts, labels = [t for t, x in zip(texts, apart) if not x], labels[~apart]
     w = Words(texts)
     start, length, text = windows(w.count)
@@ -265,11 +286,11 @@ def train(texts: list[bytes], labels: np.ndarray, total: tuple[int, int] | None
     first, second = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
     step = 0
     a_text = np.minimum(np.bincount(text, minlength=len(texts)), np.where(labels > 0, 2, 3)).sum()
-    epochs = int(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, a_text)))) if a_text * EPOCHS < LEAST_STEPS * BATCH // 3 else EPOCHS
+    epochs = int(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, a_text))))
     for epoch in range(epochs):
         key = r.random(len(text)).astype(np.float32)
         if epoch >= epochs * NOISY:
-            key = -np.concatenate([window_logits(m, [texts[i] for i in group])[0] for group in grouped(texts)])
+            key = -window_logits(m, texts)[0]
         order = np.lexsort((key, text))
         many = np.bincount(text, minlength=len(texts))
         rank = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
@@ -286,8 +307,7 @@ def train(texts: list[bytes], labels: np.ndarray, total: tuple[int, int] | None
                 if k in ("word", "char"):
                     m[k] *= 1 - rate * DECAY
                 m[k] -= (rate / (1 - 0.9**step) * first[k] / (np.sqrt(second[k] / (1 - 0.998**step)) + 1e-7)).astype(np.float32)
-    if held:
-        texts, labels = held, held_labels
+    texts, labels = held, held_labels
     x = text_features(m, texts)
     m["scale"] = np.stack([x.mean(0), x.std(0) + 1e-6])
     x = np.hstack([(x - m["scale"][0]) / m["scale"][1], np.ones((len(x), 1))])
@@ -317,16 +337,29 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     """A model from labelled rows of ``docs(doc_id, text)`` that are not held out.
 
     ``labels(doc_id, toxic)``; repeated labels of an id count once, by their largest.
-    At most ``toxic`` and ``clean`` rows, the first by a hash of the id, go to the
-    driver; they are whole texts.
+    The sample: at most ``toxic`` and ``clean`` rows, the first by a hash of the id, of texts
+    of at most ``TEXT_BYTES``, as far as each label's texts fit into ``SAMPLE_BYTES``. One task
+    trains on it; only the weights, about 1.4 MB, go to the driver.
     """
-    known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    size = {r["label"]: r["count"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
+    known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    pick = known.where("label > 0").orderBy(*order).limit(toxic).union(known.where("label <= 0").orderBy(*order).limit(clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").collect()
-    texts = [(r["text"] or "").encode() for r in rows]
-    return train(texts, np.array([float(r["label"] > 0) for r in rows]), (size.get(0, 0), size.get(1, 0)))
+    pick = known.where("label > 0").orderBy(*order).limit(toxic).union(known.where("label = 0").orderBy(*order).limit(clean))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").where(F.octet_length("text") <= TEXT_BYTES)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    so_far = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("size", F.sum(F.octet_length("text")).over(so_far)).where(F.col("size") <= SAMPLE_BYTES).select("doc_id", "text", "label")
+    size = known.agg(F.count_if(F.col("label") == 0).alias("n_clean"), F.count_if(F.col("label") > 0).alias("n_toxic"))
+    rows = rows.withColumn("task", F.lit(0)).join(F.broadcast(size), how="left")  # one row
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        model = train([t.encode() for t in pdf["text"]], pdf["label"].to_numpy(), (int(pdf["n_clean"].iat[0]), int(pdf["n_toxic"].iat[0])))
+        out = io.BytesIO()
+        np.savez(out, **model)
+        return pd.DataFrame({"model": [out.getvalue()]})
+
+    found = rows.groupBy("task").applyInPandas(learn, "model binary").collect()
+    return dict(np.load(io.BytesIO(found[0]["model"]))) if found else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

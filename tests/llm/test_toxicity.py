@@ -81,13 +81,20 @@ def test_held_out_accuracy_and_edges(spark):
     assert spark.range(50).where("crc32(cast(cast(id as string) as binary)) % 5 = 0").count() == sum(T.held_out_crc(i) for i in range(50))
 
 
-def test_long_text_pieces_change_little():
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 90, 96, 97, 1000, 40_003])
+def test_long_texts_have_the_windows_of_short_ones(monkeypatch, n):
     m = T.new_model(2)
-    m["beta"], m["scale"] = np.array([1.0, 0, 0, 0]), np.array([[0.0] * 3, [1.0] * 3])
-    t = (" ".join(f"w{k % 977}" for k in range(120_000))).encode()
-    whole, T.PIECE = T.PIECE, 10**9
-    try:
-        one = T.text_features(m, [t])
-    finally:
-        T.PIECE = whole
-    assert len(t) > T.PIECE and np.allclose(one[0, 0], T.text_features(m, [t])[0, 0], atol=0.2)
+    t = (" ".join(f"w{k % 977}" for k in range(n))).encode() + b"\n "
+    whole = T.window_logits(m, [b"a b c", t, b""])
+    for piece in (1, 100, 7_000):
+        if n * piece < 5_000_000 and n < 2000 * piece:
+            monkeypatch.setattr(T, "PIECE", piece)
+            cut = T.window_logits(m, [b"a b c", t, b""])
+            assert (whole[1] == cut[1]).all() and (whole[2] == cut[2]).all() and np.allclose(whole[0], cut[0], atol=1e-5)
+
+
+def test_a_word_longer_than_a_piece(monkeypatch):
+    m, t = T.new_model(2), b"one " + b"x" * 900 + b" two " * 100
+    whole = T.window_logits(m, [t])
+    monkeypatch.setattr(T, "PIECE", 50)
+    assert np.allclose(whole[0], T.window_logits(m, [t])[0], atol=1e-5)
