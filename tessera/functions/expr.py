@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from datetime import datetime, timezone
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,17 +39,43 @@ def like(x: Column, pattern: str | Column) -> Column:
     return F.like(lower(x), lower(pattern), F.lit("\x01"))
 
 
-def add(a: Column, b: Column) -> Column:
-    """Integer sum as a double where it may overflow: promoted to REAL like the dialect does."""
-    return F.coalesce(F.try_add(a, b).cast("double"), a.cast("double") + b.cast("double"))
+def _checked(exact: Column, real: Column, overflow: str, *operands: Column) -> Column:
+    """The exact result where there is one; beyond 64 bits an error, a REAL column, or a VARIANT that holds either."""
+    if overflow == "raise":
+        given = reduce(lambda x, y: x & y, [o.isNotNull() for o in operands])
+        return F.when(given, F.coalesce(exact, F.raise_error(F.lit("integer overflow")).cast("bigint")))
+    if overflow == "real":
+        return F.coalesce(exact.cast("double"), real)
+    if overflow == "variant":
+        return F.coalesce(exact.cast("variant"), real.cast("variant"))
+    raise ValueError(overflow)
+
+
+def add(a: Column, b: Column, overflow: str = "raise") -> Column:
+    """``+``: INTEGER stays INTEGER and exact.
+
+    The dialect turns a sum beyond 64 bits into REAL row by row. A column has one
+    type, so the caller declares the need: ``raise``, ``real`` (all rows), or
+    ``variant``, which holds an exact INTEGER or a REAL in each row.
+    """
+    return _checked(F.try_add(a, b), a.cast("double") + b.cast("double"), overflow, a, b)
+
+
+def subtract(a: Column, b: Column, overflow: str = "raise") -> Column:
+    return _checked(F.try_subtract(a, b), a.cast("double") - b.cast("double"), overflow, a, b)
+
 
+def multiply(a: Column, b: Column, overflow: str = "raise") -> Column:
+    return _checked(F.try_multiply(a, b), a.cast("double") * b.cast("double"), overflow, a, b)
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_subtract(a, b).cast("double"), a.cast("double") - b.cast("double"))
 
+def negate(a: Column, overflow: str = "raise") -> Column:
+    return _checked(F.try_subtract(F.lit(0).cast("bigint"), a), -a.cast("double"), overflow, a)
 
-def multiply(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_multiply(a, b).cast("double"), a.cast("double") * b.cast("double"))
+
+def no_nan(x: Column) -> Column:
+    """A REAL result: NaN is NULL."""
+    return F.when(~F.isnan(x), x)
 
 
 def int_divide(a: Column, b: Column) -> Column:
@@ -63,8 +93,9 @@ def int_mod(a: Column, b: Column) -> Column:
     return a.cast("bigint") % F.nullif(b.cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def negate(a: Column) -> Column:
-    return F.when(a == F.lit(INT_MIN), -a.cast("double")).otherwise((-F.nullif(a, F.lit(INT_MIN))).cast("double"))
+def real_mod(a: Column, b: Column) -> Column:
+    """``%`` with a REAL operand: the remainder of the truncated operands, as REAL."""
+    return int_mod(real_to_integer(a.cast("double")), real_to_integer(b.cast("double"))).cast("double")
 
 
 def substr(x: Column, start: int | Column, length: int | Column | None = None) -> Column:
@@ -142,6 +173,64 @@ def int_real_less(i: Column, r: Column) -> Column:
     return (d < r) | ((d == r) & (i.cast("decimal(38,0)") < r.try_cast("decimal(38,0)")))
 
 
+def _sign(less: Column, equal: Column) -> Column:
+    return F.when(equal, 0).when(less, -1).when(~less, 1)
+
+
+RANK = {"integer": 1, "real": 1, "text": 2, "blob": 3}
+
+
+@dataclass(frozen=True)
+class Typed:
+    """A value with its storage class (integer, real, text or blob), and whether it is a column, whose declared type converts the other side."""
+
+    value: Column
+    kind: str
+    column: bool = False
+    nocase: bool = False
+
+
+def _class_order(a: Typed, b: Typed) -> Column:
+    """-1, 0, 1 or NULL in the dialect's order: numbers, then texts, then blobs; integers and reals exactly."""
+    x, y = a.value, b.value
+    if RANK[a.kind] != RANK[b.kind]:
+        return F.when(x.isNotNull() & y.isNotNull(), F.lit(-1 if RANK[a.kind] < RANK[b.kind] else 1))
+    if (a.kind, b.kind) == ("integer", "real"):
+        return _sign(int_real_less(x, y), int_real_equal(x, y))
+    if (a.kind, b.kind) == ("real", "integer"):
+        return -_class_order(b, a)
+    if a.kind == "text" and (a.nocase or (b.nocase and not a.column)):
+        x, y = nocase(x), nocase(y)
+    return _sign(x < y, x == y)
+
+
+def order(a: Typed, b: Typed) -> Column:
+    """How ``a`` compares to ``b``, after comparison affinity by their declared types.
+
+    A numeric column converts a text on the other side that is a whole number as written;
+    other texts stay texts and are larger than numbers. A text column turns a bare
+    number into text. Collation: that of the left column, else of the right one.
+    """
+    numbers = ("integer", "real")
+    if a.kind in numbers and a.column and b.kind == "text":
+        whole = F.trim(b.value).rlike(r"^[+-]?[0-9]+$") & F.trim(b.value).try_cast("bigint").isNotNull()
+        as_int, as_real = replace(b, value=F.trim(b.value).try_cast("bigint"), kind="integer"), replace(b, value=F.trim(b.value).try_cast("double"), kind="real")
+        return F.when(whole, _class_order(a, as_int)).when(is_numeric(b.value), _class_order(a, as_real)).otherwise(_class_order(a, b))
+    if b.kind in numbers and b.column and a.kind == "text":
+        return -order(b, a)
+    if a.kind == "text" and a.column and b.kind in numbers and not b.column:
+        return _class_order(a, replace(b, value=cast_text(b.value, b.kind), kind="text"))
+    if b.kind == "text" and b.column and a.kind in numbers and not a.column:
+        return -order(b, a)
+    return _class_order(a, b)
+
+
+def compare(a: Typed, op: str, b: Typed) -> Column:
+    """``a op b`` for ``= <> < <= > >=``; NULL if either is."""
+    o = order(a, b)
+    return {"=": o == 0, "<>": o != 0, "<": o < 0, "<=": o <= 0, ">": o > 0, ">=": o >= 0}[op]
+
+
 def is_in(x: Column, values: list) -> Column:
     """``IN`` of a list; an empty one is false even for NULL."""
     return x.isin(values) if values else F.lit(False)
@@ -165,6 +254,25 @@ def real_to_text(x: pd.Series) -> pd.Series:
     return x.map(show)
 
 
+def cast_text(x: Column, kind: str) -> Column:
+    """``CAST(x AS TEXT)``: a REAL with 15 significant digits, a blob read as UTF-8."""
+    return real_to_text(x.cast("double")) if kind == "real" else x.cast("string")
+
+
+def cast_blob(x: Column, kind: str) -> Column:
+    """``CAST(x AS BLOB)``: the bytes of the text of a number."""
+    return x if kind == "blob" else cast_text(x, kind).cast("binary")
+
+
+def datetime_now(clock: datetime | Column | None = None) -> Column:
+    """``datetime('now')``: UTC as ``YYYY-MM-DD HH:MM:SS``; ``clock`` is an injected time, else the query's own."""
+    if isinstance(clock, datetime):
+        utc = clock.astimezone(timezone.utc) if clock.tzinfo else clock
+        return F.lit(utc.strftime("%Y-%m-%d %H:%M:%S"))
+    now = F.current_timestamp() if clock is None else clock
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), now.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+
+
 def concat(*parts: Column) -> Column:
     """``||`` of texts and integers; NULL if any is. Show reals by ``real_to_text`` first."""
     return F.concat(*[p.cast("string") for p in parts])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import nocase
+
 MAX_ARMS, MAX_TABLES, MAX_TOP = 500, 64, 4096
 #: A side is only hinted for broadcast if its size is known to be below this.
 BROADCAST_BYTES = 64 << 20
@@ -20,8 +22,17 @@ def first_rows(df: DataFrame, keys: list[Column], rowid: str, bare: list[str], a
 
 def distinct_nocase(df: DataFrame, column: str, rowid: str) -> DataFrame:
     """SELECT DISTINCT of a NOCASE column: the spelling of the first row of each class."""
-    fold = F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return df.groupBy(fold.alias("fold_")).agg(F.min_by(column, rowid).alias(column)).select(column)
+    return df.groupBy(nocase(F.col(column)).alias("fold_")).agg(F.min_by(column, rowid).alias(column)).select(column)
+
+
+def min_nocase(column: str, rowid: str) -> Column:
+    """MIN of a NOCASE column: of equal spellings the first row's. NULLs don't count."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.struct(nocase(F.col(column)), F.col(rowid))))
+
+
+def max_nocase(column: str, rowid: str) -> Column:
+    """MAX of a NOCASE column: of equal spellings the first row's. NULLs don't count."""
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(nocase(F.col(column)), -F.col(rowid))))
 
 
 def slice_rows(df: DataFrame, limit: int | None, offset: int | None = None) -> DataFrame:
@@ -36,20 +47,47 @@ def top(df: DataFrame, order: list[Column], rowid: str, limit: int | None, offse
     return slice_rows(df.orderBy(*order, F.col(rowid).asc()), limit, offset)
 
 
-def compound(first: DataFrame, *arms: tuple[str, DataFrame]) -> DataFrame:
-    """Left-associative UNION and UNION ALL; names come from the first arm."""
+def compound(first: DataFrame, *arms: tuple[str, DataFrame], nocase_columns: tuple[str, ...] = (), rowid: str | None = None) -> DataFrame:
+    """Left-associative UNION and UNION ALL; names and collations come from the first arm.
+
+    ``nocase_columns`` are those of the first arm's columns that compare without case; of
+    equal rows the first stays: the first arm's, and within an arm the one of the smallest
+    ``rowid``, a column of every arm that is not part of the result.
+    """
     if len(arms) >= MAX_ARMS:
         raise ValueError(f"more than {MAX_ARMS} arms")
-    out = first
-    for kind, arm in arms:
-        if len(arm.columns) != len(first.columns):
+    names = [c for c in first.columns if c != rowid]
+    place = F.struct(F.lit(0).alias("arm"), F.col(rowid).alias("row") if rowid else F.monotonically_increasing_id().alias("row")).alias("place_")
+    tag = lambda d, k: d.select(*[c for c in d.columns if c != rowid], place.alias("place_").withField("arm", F.lit(k)).alias("place_"))
+    out = tag(first, 0) if nocase_columns else first.select(*names)
+    for k, (kind, arm) in enumerate(arms, 1):
+        arm = tag(arm, k) if nocase_columns else arm.select(*[c for c in arm.columns if c != rowid])
+        if len(arm.columns) != len(out.columns):
             raise ValueError("arms have different numbers of columns")
-        out = out.union(arm.toDF(*first.columns))
-        if kind == "union":
-            out = out.distinct()
-        elif kind != "union all":
+        out = out.union(arm.toDF(*out.columns))
+        if kind not in ("union", "union all"):
             raise ValueError(kind)
-    return out
+        if kind == "union" and nocase_columns:
+            keys = [(nocase(F.col(c)) if c in nocase_columns else F.col(c)).alias(f"k{i}_") for i, c in enumerate(names)]
+            out = out.groupBy(*keys).agg(F.min_by(F.struct(*names, "place_"), "place_").alias("row_")).select("row_.*")
+        elif kind == "union":
+            out = out.distinct()
+    return out.select(*names)
+
+
+def order_compound(df: DataFrame, *terms: int | str | tuple[int | str, str], limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """ORDER BY of a compound: by ordinals from 1 or output names, each alone or with ``asc`` or ``desc``; then LIMIT and OFFSET."""
+    keys = []
+    for term in terms:
+        name, way = term if isinstance(term, tuple) else (term, "asc")
+        if isinstance(name, int):
+            if not 1 <= name <= len(df.columns):
+                raise ValueError(f"ORDER BY term {name} is not between 1 and {len(df.columns)}")
+            name = df.columns[name - 1]
+        elif name.lower() not in [c.lower() for c in df.columns]:
+            raise ValueError(f"ORDER BY term {name} is not a column of the result")
+        keys.append(F.col(name).desc() if way == "desc" else F.col(name).asc())
+    return slice_rows(df.orderBy(*keys) if keys else df, limit, offset)
 
 
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner", strategy: str = "auto") -> DataFrame:
@@ -61,7 +99,7 @@ def join(left: DataFrame, right: DataFrame, on, how: str = "inner", strategy: st
     if how not in ("inner", "left"):
         raise ValueError("inner and left joins only")
     if strategy == "broadcast":
-        size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         strategy = "broadcast" if size <= BROADCAST_BYTES else "hash"
     hint = {"auto": None, "hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast"}[strategy]
     return left.join(right.hint(hint) if hint else right, on, how)
@@ -102,6 +140,13 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
+def matching_rowids(df: DataFrame, rowid: str, **equals) -> DataFrame:
+    """Rowids of the rows whose columns equal the values, NULL included, in order."""
+    for k, v in equals.items():
+        df = df.where(F.col(k).eqNullSafe(F.lit(v)))
+    return df.select(rowid).orderBy(rowid)
+
+
 def first_rowid(df: DataFrame, rowid: str, **equals) -> int | None:
     for k, v in equals.items():
         df = df.where(F.col(k).eqNullSafe(F.lit(v)))

@@ -55,7 +55,7 @@ same("coalesce_null", "select c_custkey, coalesce(o.o_orderkey, -1) as o_orderke
 # joins
 same("inner_join", "select o.o_orderkey, c.c_name, c.c_mktsegment from {orders} o join {customer} c on o.o_custkey = c.c_custkey where c.c_acctbal < 0")
 same("left_join", "select c.c_custkey, o.o_orderkey from {customer} c left join {orders} o on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'")
-same("anti_via_left", "select c.c_custkey from {customer} c left join {orders} o on o.o_custkey = c.c_custkey where o.o_orderkey is null")
+same("anti_via_left", "select c.c_custkey from {customer} c left join {orders} o on o.o_custkey = c.c_custkey and o.o_totalprice > 200000 where o.o_orderkey is null")
 same("theta_join", "select a.n_name as a, b.n_name as b from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
 same("self_join", "select a.n_name as a, r.r_name, count(*) as n from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey join {region} r on r.r_regionkey = a.n_regionkey group by a.n_name, r.r_name")
 same("three_way_join", "select c.c_mktsegment, n.n_name, count(*) as n, cast(sum(cast(o.o_totalprice as decimal(18,2))) as double) as total from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {nation} n on c.c_nationkey = n.n_nationkey group by c.c_mktsegment, n.n_name")
@@ -102,12 +102,13 @@ def nocase_eq(spark, sf_dir):
     return table(spark, sf_dir, "part").where(E.nocase(F.col("p_brand")) == "brand#12").select("p_partkey", "p_brand")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey // nullif(l_linenumber - 3, 0) as d, l_partkey % nullif(l_linenumber - 3, 0) as m, (l_partkey + l_suppkey)::double as s, (l_partkey * l_suppkey)::double as p, l_extendedprice / nullif(l_quantity - 5, 0) as r from lineitem")
+@query("select l_orderkey, l_linenumber, l_partkey // nullif(l_linenumber - 3, 0) as d, l_partkey % nullif(l_linenumber - 3, 0) as m, (l_partkey + 9007199254740993)::bigint as s, (l_partkey * -90071992547409)::bigint as p, (l_partkey - 9007199254740993)::bigint as t, (-l_orderkey)::bigint as u, l_extendedprice / nullif(l_quantity - 5, 0) as r, (trunc(l_extendedprice)::bigint % nullif(trunc(l_quantity)::bigint - 5, 0))::double as q from lineitem")
 def arithmetic(spark, sf_dir):
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", E.int_divide(c("l_partkey"), c("l_linenumber") - 3).alias("d"), E.int_mod(c("l_partkey"), c("l_linenumber") - 3).alias("m"),
-        E.add(c("l_partkey"), c("l_suppkey")).alias("s"), E.multiply(c("l_partkey"), c("l_suppkey")).alias("p"), E.divide(c("l_extendedprice"), c("l_quantity") - 5).alias("r"),
+        E.add(c("l_partkey"), F.lit(9007199254740993)).alias("s"), E.multiply(c("l_partkey"), F.lit(-90071992547409)).alias("p"), E.subtract(c("l_partkey"), F.lit(9007199254740993)).alias("t"),
+        E.negate(c("l_orderkey")).alias("u"), E.divide(c("l_extendedprice"), c("l_quantity") - 5).alias("r"), E.real_mod(c("l_extendedprice"), c("l_quantity") - 5).alias("q"),
     )
 
 
@@ -165,12 +166,42 @@ def json_reads(spark, sf_dir):
     )
 
 
+def _document(i):
+    """A document with containers, numbers as written, repeated keys and a boolean, that differs by row."""
+    return F.concat(F.lit('{"z": {"b": 1, "a": 2.50}, "n": ['), i, F.lit(", 1.0e2, null, "), i % 7, F.lit('], "d": 1, "d": 2, "t": '), F.when(i % 2 == 0, "true").otherwise("false"), F.lit("}"))
+
+
+@query("select event_id, '{\"b\":1,\"a\":2.50}' as container, (event_id % 7)::varchar as last, (event_id % 2 = 0)::int::bigint as flag, case when event_id % 2 = 0 then 'true' else 'false' end as flag_type, '1' as first_of_repeated, '[1.0e2,null,' || event_id || ']' as several, '2.50' as written, 1::bigint as ok, 0::bigint as not_ok, 4::bigint as n, null::bigint as no_n, event_id as int_n from events")
+def json_documents(spark, sf_dir):
+    i = F.col("event_id")
+    d = _document(i)
+    return table(spark, sf_dir, "events").select(
+        "event_id", J.extract(d, "$.z").alias("container"), J.extract(d, "$.n[#-1]").alias("last"), J.extract(d, "$.t", "bigint").alias("flag"), J.json_type(d, "$.t").alias("flag_type"),
+        J.extract(d, "$.d").alias("first_of_repeated"), J.extract_many(d, "$.n[1]", "$.q", "$.n[0]").alias("several"), J.arrow_text(d, "$.z.a").alias("written"), J.valid(d).alias("ok"),
+        J.valid(F.concat(d, F.lit(","))).alias("not_ok"), J.array_length(d, "$.n").alias("n"), J.array_length(d, "$.none").alias("no_n"), J.arrow_value(J.arrow_text(d, "n"), 0, "bigint").alias("int_n"),
+    )
+
+
 @query("select event_id, event_type from events where event_type in (select unnest(['click', 'view', 'purchase'])) and cast(json_extract(props, '$.k') as bigint) > 50")
 def in_json_each(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.where(J.in_each(F.col("event_type"), F.lit('["click","view","purchase"]')) & (J.arrow_value(F.col("props"), "k", "bigint") > 50)).select("event_id", "event_type")
 
 
+@query("select event_id, case when event_id % 4 = 0 then 0 when event_id % 3 = 0 then 1 when event_id % 5 = 0 then null else 0 end::bigint as found from events")
+def in_json_each_mixed(spark, sf_dir):
+    """A document a row, with values of all classes: a NULL one, one that has the number, one with a null, one with the number as text."""
+    i = F.col("event_id")
+    doc = F.when(i % 4 == 0, F.lit(None).cast("string")).when(i % 3 == 0, F.concat(F.lit('["x",'), i, F.lit(".0,null]"))).when(i % 5 == 0, '{"a":"x","b":null}').otherwise(F.concat(F.lit('["'), i, F.lit('",[1],-1]')))
+    return table(spark, sf_dir, "events").select("event_id", E.as_integer(J.in_each(i, doc, "bigint")).alias("found"))
+
+
+@query("select event_id, key, kind, value from (select event_id, 'k' as key, 'integer' as kind, json_extract_string(props, '$.k') as value from events union all select event_id, 'list', 'array', '[1,\"' || event_type || '\"]' from events) t")
+def json_each_rows(spark, sf_dir):
+    p = F.concat(F.lit('{"k": '), J.extract(F.col("props"), "$.k"), F.lit(', "list": [1, "'), F.col("event_type"), F.lit('"]}'))
+    return table(spark, sf_dir, "events").select("event_id", F.inline(J.each(p)))
+
+
 @query("select user_id, '[' || string_agg(case when event_id % 5 = 0 then 'null' else event_id::varchar end, ',' order by event_id) || ']' as ids, '{' || string_agg('\"' || event_type || '\":' || event_id, ',' order by event_id) || '}' as pairs from events group by user_id")
 def json_group(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -200,3 +231,62 @@ def flagship(spark, sf_dir):
     d = l.where("l_quantity > 10").join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     d = d.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n_orders"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue")).where("n_orders > 3")
     return d.orderBy(F.desc("revenue"), "c_mktsegment", "n_name").limit(40)
+
+
+_CASED = "case when event_id % 3 = 0 then upper(event_type) when event_id % 3 = 1 then event_type else upper(substr(event_type, 1, 1)) || substr(event_type, 2) end"
+
+
+@query(f"select user_id, arg_min(v, (lower(v), event_id)) as lo, arg_max(v, (lower(v), -event_id)) as hi from (select user_id, event_id, {_CASED} as v from events) t group by user_id")
+def nocase_min_max(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("v", F.expr(_CASED))
+    return e.groupBy("user_id").agg(R.min_nocase("v", "event_id").alias("lo"), R.max_nocase("v", "event_id").alias("hi"))
+
+
+@query("select v from (select upper(event_type) as v, 0 as arm, event_id from events where event_id % 2 = 0 union all select event_type, 1, event_id from events union all select 'Zoo', 2, 1) t qualify row_number() over (partition by lower(v) order by arm, event_id) = 1 order by v desc limit 4 offset 1")
+def union_nocase_ordinal(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    first = e.where("event_id % 2 = 0").select(F.upper("event_type").alias("v"), "event_id")
+    both = R.compound(first, ("union", e.select("event_type", "event_id")), ("union", spark.createDataFrame([("Zoo", 1)], "v string, event_id long")), nocase_columns=("v",), rowid="event_id")
+    return R.order_compound(both, (1, "desc"), limit=4, offset=1)
+
+
+@query("select x, n from (select p_size as x, 1 as n from part where p_size < 4 union select p_size, 1 from part where p_size < 6 union all select 1, 2) t order by 2 desc, 1 limit 5")
+def compound_ordinals(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    arm = lambda most: p.where(F.col("p_size") < most).select(F.col("p_size").alias("x"), F.lit(1).alias("n"))
+    return R.order_compound(R.compound(arm(4), ("union", arm(6)), ("union all", spark.sql("select 1 as x, 2 as n"))), (2, "desc"), 1, limit=5)
+
+
+@query("select p_partkey, (p_size = 10)::int::bigint as int_text, (p_size = 10 or p_size = 7)::int::bigint as real_text, 1::bigint as int_word, 0::bigint as word_int, (p_size::varchar < '5')::int::bigint as text_bare, 0::bigint as beyond, 1::bigint as blob_last from part")
+def affinity(spark, sf_dir):
+    """Comparisons of different classes, converted or ranked by the declared types of their sides."""
+    t = E.Typed
+    size = t(F.col("p_size").cast("bigint"), "integer", column=True)
+    as_text = t(F.col("p_size").cast("string"), "text", column=True)
+    lit = lambda v, kind: t(F.lit(v), kind)
+    say = E.as_integer
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", say(E.compare(size, "=", lit(" 10 ", "text"))).alias("int_text"), say(E.compare(size, "=", lit("1e1", "text")) | E.compare(size, "=", lit("7.0", "text"))).alias("real_text"),
+        say(E.compare(size, "<", lit("abc", "text"))).alias("int_word"), say(E.compare(lit("12x", "text"), "<=", size)).alias("word_int"), say(E.compare(as_text, "<", lit(5, "integer"))).alias("text_bare"),
+        say(E.compare(t(F.col("p_size") * 0 + F.lit(9007199254740993), "integer", column=True), "=", lit(9007199254740992.0, "real"))).alias("beyond"), say(E.compare(lit("zzz", "text"), "<", lit(b"a", "blob"))).alias("blob_last"),
+    )
+
+
+@query("select o_orderkey, '2024-02-29 23:59:58' as stamp, o_totalprice::varchar as price, '7' as blob_text from orders where o_orderkey % 8 = 0 or o_orderkey % 8 = 1")
+def clock_and_casts(spark, sf_dir):
+    from datetime import datetime, timedelta, timezone
+
+    clock = datetime(2024, 3, 1, 1, 59, 58, tzinfo=timezone(timedelta(hours=2)))
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0 or o_orderkey % 8 = 1")
+    return o.select("o_orderkey", E.datetime_now(clock).alias("stamp"), E.cast_text(F.col("o_totalprice"), "real").alias("price"), E.cast_blob(F.lit(7), "integer").cast("string").alias("blob_text"))
+
+
+@query("select n_name, r_name from nation left join region on n_regionkey = r_regionkey and r_name <> 'ASIA'")
+def broadcast_join(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return R.join(n, r, (n.n_regionkey == r.r_regionkey) & (r.r_name != "ASIA"), how="left", strategy="broadcast").select("n_name", "r_name")
+
+
+@query("select o_orderkey from orders where o_custkey = 7 and o_orderstatus = 'O'")
+def matching_rowids(spark, sf_dir):
+    return R.matching_rowids(table(spark, sf_dir, "orders"), "o_orderkey", o_custkey=7, o_orderstatus="O")

@@ -64,10 +64,20 @@ def test_numbers(spark):
     con = sqlite3.connect(":memory:")
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a long, b long").orderBy("i")
     a, b = F.col("a"), F.col("b")
-    for column, sql in ((E.add(a, b), "a + b"), (E.subtract(a, b), "a - b"), (E.multiply(a, b), "a * b"), (E.negate(a), "-a")):
-        got = [r[0] for r in df.select(column).collect()]
+    for f, sql in ((E.add, "a + b"), (E.subtract, "a - b"), (E.multiply, "a * b"), (lambda a, b, overflow: E.negate(a, overflow), "-a")):
         want = [con.execute(f"select {sql} from (select ? a, ? b)", p).fetchone()[0] for p in pairs]
-        assert all(x == (None if y is None else float(y)) for x, y in zip(got, want)), (sql, got, want)
+        got = [None if r[0] is None else r[0].toPython() for r in df.select(f(a, b, overflow="variant")).collect()]
+        assert [(type(x), x) for x in got] == [(type(y), y) for y in want], (sql, got, want)
+        real = [r[0] for r in df.select(f(a, b, overflow="real")).collect()]
+        assert all(x == (None if y is None else float(y)) for x, y in zip(real, want))
+        small = df.where("a is null or a between -99 and 99")
+        kept = [r[0] for r in small.select(f(a, b, overflow="raise")).collect()]
+        assert kept == [y for (x, _), y in zip(pairs, want) if x is None or abs(x) < 100]
+    with pytest.raises(Exception, match="integer overflow"):
+        df.select(E.add(a, F.lit(1))).collect()
+    assert df.limit(1).select(E.add(F.lit(2**53 + 1), F.lit(0))).first()[0] == 2**53 + 1
+    real = df.select(E.real_mod(F.col("a") * F.lit(0.5), b)).collect()
+    assert [r[0] for r in real] == [con.execute("select a * 0.5 % b from (select ? a, ? b)", p).fetchone()[0] for p in pairs]
     small = df.where("i <> 5")
     for column, sql in ((E.int_divide(a, b), "a / b"), (E.int_mod(a, b), "a % b")):
         assert [r[0] for r in small.select(column).collect()] == [con.execute(f"select {sql} from (select ? a, ? b)", p).fetchone()[0] for i, p in enumerate(pairs) if i != 5]
@@ -152,3 +162,55 @@ def test_fts_changes_and_errors(spark):
             parse(bad)
     with pytest.raises(QueryError):
         FtsIndex.build(docs, "id", ("body",), detail="column").match('"the cat"')
+
+
+VALUES = [(None, "integer"), (0, "integer"), (10, "integer"), (2**53 + 1, "integer"), (-3, "integer"), (10.0, "real"), (float(2**53), "real"), (0.5, "real"), ("10", "text"), (" 10.0 ", "text"), ("abc", "text"), ("ABC", "text"), ("1e1x", "text"), (b"abc", "blob"), (b"", "blob")]
+
+
+def test_comparisons_of_all_classes(spark):
+    """Columns of declared types and bare values on both sides, against sqlite3."""
+    con = sqlite3.connect(":memory:")
+    con.execute("create table t (integer integer, real real, text text, blob blob)")
+    one = spark.range(1)
+    names, columns, want = [], [], []
+    for v, kind in VALUES:
+        con.execute("delete from t")
+        con.execute(f"insert into t ({kind}) values (?)", (v,))
+        for w, other in VALUES:
+            for op in ("=", "<"):
+                want.append(con.execute(f"select {kind} {op} ? from t", (w,)).fetchone()[0])
+                spark_type = {"integer": "bigint", "real": "double", "text": "string", "blob": "binary"}
+                a = E.Typed(F.lit(v).cast(spark_type[kind]), kind, column=True)
+                b = E.Typed(F.lit(w).cast(spark_type[other]), other)
+                names.append((v, kind, op, w, other))
+                columns.append(E.as_integer(E.compare(a, op, b)))
+    got = []
+    for i in range(0, len(columns), 60):
+        got += list(one.select(*[c.alias(f"c{j}") for j, c in enumerate(columns[i : i + 60])]).first())
+    wrong = [(n, g, w) for n, g, w in zip(names, got, want) if g != w]
+    assert not wrong, wrong[:5]
+
+
+def test_json_reads_match_sqlite(spark):
+    docs = ['{"z":{"b":1,"a":2.50},"n":[1,2,[3]],"t":true,"x":null}', "[1,{\"k\":\"v\"},-0.5e3]", '"s"', "7", None, "{}", "[]"]
+    paths = ["$", "$.z", "$.z.a", "$.n", "$.n[#-1]", "$.n[0]", "$[1]", "$[1].k", "$[#-1]", "$.t", "$.x", '$."z".b', "$.n[9]"]
+    con = sqlite3.connect(":memory:")
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").orderBy("i")
+    for path in paths:
+        rows = df.select(J.extract(F.col("d"), path), J.json_type(F.col("d"), path), J.array_length(F.col("d"), path)).collect()
+        for d, r in zip(docs, rows):
+            value, kind, n = con.execute("select json_extract($d, $p), json_type($d, $p), json_array_length($d, $p)", {"d": d, "p": path}).fetchone()
+            assert r[1:] == (kind, n), (d, path, r)
+            if kind in ("real",) and path != "$":
+                assert float(r[0]) == value
+            elif value is not None:
+                assert r[0] == str(value), (d, path, r, value)
+            else:
+                assert r[0] is None
+    bad = spark.createDataFrame([("{",), ('{"a":1,"a":2}',), ("NaN",), (None,)], "d string")
+    assert [r[0] for r in bad.select(J.valid(F.col("d"))).collect()] == [0, 1, 0, None]
+    with pytest.raises(Exception, match="Expecting|malformed|JSON"):
+        bad.limit(1).select(J.extract(F.col("d"), "$.a")).collect()
+    assert J.path_of(-1) == "$[#-1]"
+    many = df.where("i = 0").select(J.extract_many(F.col("d"), "$.z", "$.q", "$.t")).first()[0]
+    assert many == '[{"b":1,"a":2.50},null,true]'
