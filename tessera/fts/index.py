@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .query import Leaf, Node, QueryError, leaves, parse
@@ -13,58 +16,121 @@ from .tokenize import Tokenizer
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_TERM_BYTES = 256
+#: Folders of a stored index, by a hash of the term; a term's postings are dealt over so many tasks of the build.
+BUCKETS, SALTS = 64, 8
+_ROWS = "term string, docid long, col int, tf int, positions array<int>, length int"
+
+
+def _postings(width: int, detail: str, final):
+    """Postings of a batch of documents, and for each document and column a row without term whose ``tf`` is the column's length."""
+    names = ["term", "docid", "col", "tf", "positions", "length"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            size = [np.diff(b.column(1 + i).offsets.to_numpy()) for i in range(width)]
+            length = np.sum(size, axis=0, dtype=np.int64) if width else np.zeros(len(ids), np.int64)
+            flat, col, doc, pos = [], [], [], []
+            for i in range(width):
+                flat.append(b.column(1 + i).flatten())
+                doc.append(np.repeat(np.arange(len(ids)), size[i]))
+                pos.append(np.arange(size[i].sum()) - np.repeat(np.cumsum(size[i]) - size[i], size[i]))
+                col.append(np.full(size[i].sum(), -1 if detail == "none" else i))
+            doc, pos, col = (np.concatenate(x).astype(np.int64) for x in (doc, pos, col))
+            coded = pa.concat_arrays(flat).dictionary_encode()
+            tokens = coded.dictionary.to_pylist()
+            number: dict[str, int] = {}
+            to = np.array([number.setdefault(final(t) if final else t, len(number)) for t in tokens], np.int64)
+            code = to[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+            fits = np.array([len(t.encode()) <= MAX_TERM_BYTES for t in number], bool)
+            keep = fits[code] if len(code) else np.zeros(0, bool)
+            doc, pos, col, code = doc[keep], pos[keep], col[keep], code[keep]
+            order = np.lexsort((pos, col, code, doc))
+            doc, pos, col, code = doc[order], pos[order], col[order], code[order]
+            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]) | (col[1:] != col[:-1])))) if len(doc) else np.zeros(0, np.int64)
+            cut = np.append(first, len(doc)).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(cut), pa.array(pos, pa.int32())) if detail == "full" else pa.nulls(len(first), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(number), pa.string()).take(pa.array(code[first])), ids.take(pa.array(doc[first])), pa.array(col[first], pa.int32()), pa.array(np.diff(cut), pa.int32()), places, pa.array(length[doc[first]], pa.int32()),
+            ], names)
+            each = np.tile(np.arange(len(ids)), width)
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(len(each), pa.string()), ids.take(pa.array(each)), pa.array(np.repeat(np.arange(width), len(ids)), pa.int32()), pa.array(np.concatenate(size), pa.int32()),
+                pa.nulls(len(each), pa.list_(pa.int32())), pa.array(length[each], pa.int32()),
+            ], names)
+
+    return rows
 
 
 class FtsIndex:
-    """``postings(term, docid, col, tf, positions)`` and ``stats(docid, lens)`` of some text columns.
+    """``postings(term, docid, col, tf, positions, length)`` and ``stats(docid, lens)`` of some text columns.
 
-    ``detail`` is full, column (no positions) or none (no columns either). A scan of one
-    term prunes by pushdown where the postings are written sorted by term (``save``).
+    ``length`` is that of the whole document, so ranking reads nothing but postings. ``detail``
+    is full, column (no positions) or none (no columns either). A stored index (``save``,
+    ``open``) lies in folders by a hash of the term, sorted by term, with a table of the
+    terms' document frequencies and the totals beside it: a term's scan reads one folder's row
+    groups, and its df and the totals are looked up.
     """
 
-    def __init__(self, postings: DataFrame, stats: DataFrame, columns: tuple[str, ...], tokenizer: str, detail: str = "full"):
+    def __init__(self, postings: DataFrame, stats: DataFrame, columns: tuple[str, ...], tokenizer: str, detail: str = "full", vocabulary: DataFrame | None = None, totals: tuple | None = None):
         self.postings, self.stats, self.columns = postings, stats, columns
         self.spec, self.tokenizer, self.detail = tokenizer, Tokenizer(tokenizer), detail
-        self._totals: tuple | None = None
+        self.vocabulary, self._totals = vocabulary, totals
 
     @classmethod
     def build(cls, docs: DataFrame, docid: str, columns: tuple[str, ...], tokenize: str = "unicode61", detail: str = "full") -> FtsIndex:
-        """NULL text is empty; terms over 256 bytes are left out but count in lengths."""
+        """NULL text is empty; terms over 256 bytes are left out but count in lengths. A document's postings are made where it is read."""
         if detail not in ("full", "column", "none"):
             raise ValueError(detail)
         t = Tokenizer(tokenize)
-        words = docs.select(F.col(docid).alias("docid"), *[t.array(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-        stats = words.select("docid", F.array(*[F.size(f"c{i}") for i in range(len(columns))]).alias("lens"))
-        each = reduce(DataFrame.union, [words.select("docid", F.lit(i).alias("col"), F.posexplode(f"c{i}").alias("pos", "term")) for i in range(len(columns))])
-        each = each.where(F.octet_length("term") <= MAX_TERM_BYTES)
-        group = ["term", "docid"] if detail == "none" else ["term", "docid", "col"]
-        gather = [F.count("*").cast("int").alias("tf")]
-        gather.append(F.array_sort(F.collect_list("pos")).alias("positions") if detail == "full" else F.lit(None).cast("array<int>").alias("positions"))
-        postings = each.groupBy(*group).agg(*gather)
-        postings = postings.withColumn("col", F.lit(-1)) if detail == "none" else postings
-        return cls(postings.select("term", "docid", "col", "tf", "positions"), stats, tuple(columns), tokenize, detail)
-
-    def save(self, path: str) -> FtsIndex:
-        """Writes the index sorted by term and reads it back."""
+        words = docs.select(F.col(docid).cast("long").alias("docid"), *[t.tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+        rows = words.mapInArrow(_postings(len(columns), detail, t.final()), _ROWS)
+        return cls(rows.where("term is not null"), cls._lengths(rows.where("term is null"), len(columns)), tuple(columns), tokenize, detail)
+
+    @staticmethod
+    def _lengths(rows: DataFrame, width: int) -> DataFrame:
+        return rows.groupBy("docid").agg(F.array(*[F.sum(F.when(F.col("col") == i, F.col("tf"))).cast("int") for i in range(width)]).alias("lens"))
+
+    def save(self, path: str, buckets: int = BUCKETS) -> FtsIndex:
+        """Writes the index and reads it back: one pass over the documents, one shuffle of the postings, in which no term is one task."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "docid").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return FtsIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), self.columns, self.spec, self.detail)
+        lens = self.stats.select("docid", F.posexplode("lens").alias("col", "tf"), F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("length"))
+        rows = self.postings.select("term", "docid", "col", "tf", "positions", "length", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
+        rows.repartition("bucket", F.pmod("docid", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "docid").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        lens.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("col", "tf")))["tf"].alias("lens")).write.mode("overwrite").parquet(f"{path}/stats")
+        stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count_distinct("docid").alias("docs"), F.sum("tf").cast("long").alias("hits")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        total = spark.read.parquet(f"{path}/stats").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("lens", F.lit(0), lambda a, x: a + x)), F.lit(0)).alias("words"))
+        about = [F.lit(x).alias(k) for k, x in (("columns", "\x1f".join(self.columns)), ("tokenizer", self.spec), ("detail", self.detail), ("buckets", buckets))]
+        total.select("*", *about).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        return FtsIndex.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FtsIndex:
+        a = spark.read.parquet(f"{path}/about").first()
+        out = cls(
+            spark.read.schema(f"{_ROWS}, bucket int").parquet(f"{path}/postings"), spark.read.schema("docid long, lens array<int>").parquet(f"{path}/stats"), tuple(a["columns"].split("\x1f")), a["tokenizer"], a["detail"],
+            spark.read.schema("term string, docs long, hits long").parquet(f"{path}/terms"), (a["n"], a["words"] / a["n"] if a["n"] else 0.0),
+        )
+        out.buckets = a["buckets"]
+        return out
+
+    buckets: int | None = None
 
     def append(self, docs: DataFrame, docid: str) -> FtsIndex:
         """More documents; a docid that is there already is refused."""
         new = FtsIndex.build(docs, docid, self.columns, self.spec, self.detail)
         if new.stats.join(self.stats, "docid", "left_semi").limit(1).count():
             raise ValueError("duplicate docid")
-        return FtsIndex(self.postings.union(new.postings), self.stats.union(new.stats), self.columns, self.spec, self.detail)
+        return FtsIndex(self.postings.drop("bucket").union(new.postings), self.stats.union(new.stats), self.columns, self.spec, self.detail)
 
     def delete(self, ids: DataFrame) -> FtsIndex:
         """Without the documents whose ``docid`` is in ``ids``."""
         ids = ids.select("docid").distinct()
-        return FtsIndex(self.postings.join(ids, "docid", "left_anti"), self.stats.join(ids, "docid", "left_anti"), self.columns, self.spec, self.detail)
+        return FtsIndex(self.postings.drop("bucket").join(ids, "docid", "left_anti"), self.stats.join(ids, "docid", "left_anti"), self.columns, self.spec, self.detail)
 
     def delete_all(self) -> FtsIndex:
-        return FtsIndex(self.postings.limit(0), self.stats.limit(0), self.columns, self.spec, self.detail)
+        return FtsIndex(self.postings.drop("bucket").limit(0), self.stats.limit(0), self.columns, self.spec, self.detail)
 
     def global_stats(self) -> tuple[int, float]:
         """Number of documents and their mean length."""
@@ -74,32 +140,48 @@ class FtsIndex:
         return self._totals
 
     def term_postings(self, term: str) -> DataFrame:
-        return self.postings.where(F.col("term") == term)
+        p = self.postings
+        if self.buckets:
+            p = p.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(self.buckets)).cast("int"))
+        return p.where(F.col("term") == term)
 
     def document_frequency(self, term: str) -> int:
-        return self.term_postings(term).select("docid").distinct().count()
+        return self._frequencies([term])[term]
+
+    def _frequencies(self, terms: list[str]) -> dict[str, int]:
+        """Numbers of documents that have each of a query's terms."""
+        if self.vocabulary is not None:
+            found = self.vocabulary.where(F.col("term").isin(terms)).select("term", "docs")
+        else:
+            found = self.postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.count_distinct("docid").alias("docs"))
+        return dict.fromkeys(terms, 0) | {r["term"]: r["docs"] for r in found.collect()}
 
     def _leaf(self, leaf: Leaf) -> DataFrame:
-        """``docid, col, tf`` of a leaf."""
+        """``docid, col, tf, length`` of a leaf, tf in parts that add up."""
         terms = self.tokenizer.terms(leaf.text)
-        p = self.postings
+        only = None
         if leaf.columns is not None:
             names = [c.lower() for c in self.columns]
             odd = [c for c in leaf.columns if c.lower() not in names]
             if odd or self.detail == "none":
                 raise QueryError(f"no such column: {odd or leaf.columns}")
-            p = p.where(F.col("col").isin([names.index(c.lower()) for c in leaf.columns]))
+            only = [names.index(c.lower()) for c in leaf.columns]
+
+        def rows(i: int) -> DataFrame:
+            p = self.postings.where(F.col("term").startswith(terms[i])) if leaf.prefix and i == len(terms) - 1 else self.term_postings(terms[i])
+            return p if only is None else p.where(F.col("col").isin(only))
+
         if not terms:
-            return p.where(F.lit(False)).select("docid", "col", "tf")
-        one = lambda i, t: F.col("term").startswith(t) if leaf.prefix and i == len(terms) - 1 else F.col("term") == t
+            return self.postings.where(F.lit(False)).select("docid", "col", "tf", "length")
         if len(terms) == 1:
-            return p.where(one(0, terms[0])).groupBy("docid", "col").agg(F.sum("tf").cast("int").alias("tf"))
+            return rows(0).select("docid", "col", "tf", "length")
         if self.detail != "full":
             raise QueryError("phrases need detail=full")
-        parts = [p.where(one(i, t)).select("docid", "col", F.lit(i).alias("i"), F.explode("positions").alias("pos")) for i, t in enumerate(terms)]
-        at = reduce(DataFrame.union, parts).select("docid", "col", "i", (F.col("pos") - F.col("i")).alias("at")).distinct()
-        at = at.groupBy("docid", "col", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
-        return at.groupBy("docid", "col").agg(F.count("*").cast("int").alias("tf"))
+        # a place holds one term, so a phrase starts where all its terms agree on the place
+        back = lambda i: F.explode(F.transform("positions", lambda x: x - F.lit(i))).alias("at")
+        parts = [rows(i).select("docid", "col", "length", back(i)) for i in range(len(terms))]
+        at = reduce(DataFrame.union, parts).groupBy("docid", "col", "length", "at").agg(F.count("*").alias("n"))
+        return at.where(F.col("n") == len(terms)).select("docid", "col", F.lit(1).alias("tf"), "length")
 
     def _matched(self, query: str, weights: list[float] | None) -> tuple[DataFrame, list]:
         """One row a matching document, with each leaf's weighted frequency: a single aggregation over all leaves."""
@@ -107,8 +189,8 @@ class FtsIndex:
         found = leaves(tree)
         w = list(weights or []) + [1.0] * (len(self.columns) - len(weights or []))
         weight = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.greatest(F.col("col"), F.lit(0)) + 1)
-        hits = reduce(DataFrame.union, [self._leaf(leaf).select("docid", F.lit(i).alias("leaf"), (weight * F.col("tf")).alias("wf")) for i, (leaf, _) in enumerate(found)])
-        hits = hits.groupBy("docid").agg(*[F.sum(F.when(F.col("leaf") == i, F.col("wf"))).alias(f"f{i}") for i in range(len(found))])
+        hits = reduce(DataFrame.union, [self._leaf(leaf).select("docid", "length", F.lit(i).alias("leaf"), (weight * F.col("tf")).alias("wf")) for i, (leaf, _) in enumerate(found)])
+        hits = hits.groupBy("docid").agg(F.max("length").alias("length"), *[F.sum(F.when(F.col("leaf") == i, F.col("wf"))).alias(f"f{i}") for i in range(len(found))])
         at = iter(range(len(found)))
 
         def truth(node: Node | Leaf):
@@ -130,16 +212,20 @@ class FtsIndex:
         n, mean = self.global_stats()
         if not n or mean <= 0:
             return hits.where(keep).select(F.col("docid").alias("rowid"), F.lit(0.0).alias("rank"))
-        df = hits.agg(*[F.count(f"f{i}").alias(f"f{i}") for i in range(len(found))]).first()  # one number a leaf
-        length = F.aggregate("lens", F.lit(0), lambda a, x: a + x)
-        scale = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean))
+        plain = [self.tokenizer.terms(leaf.text) if not leaf.prefix and leaf.columns is None else [] for leaf, _ in found]
+        if self.vocabulary is not None and all(len(t) == 1 for t in plain):
+            known = self._frequencies([t[0] for t in plain])
+            df = [known[t[0]] for t in plain]
+        else:
+            df = hits.agg(*[F.count(f"f{i}").alias(f"f{i}") for i in range(len(found))]).first()  # one number a leaf
+        scale = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean))
         rank = F.lit(0.0)
         for i, (_, scored) in enumerate(found):
             if scored:
                 idf = max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)), LEAST_IDF)
                 f = F.col(f"f{i}")
                 rank = rank + F.coalesce(F.lit(idf) * (f * F.lit(K1 + 1) / (f + scale)), F.lit(0.0))
-        return hits.where(keep).join(self.stats, "docid").select(F.col("docid").alias("rowid"), (-rank).alias("rank"))
+        return hits.where(keep).select(F.col("docid").alias("rowid"), (-rank).alias("rank"))
 
     def top(self, query: str, k: int, weights: list[float] | None = None) -> DataFrame:
         """The ``k`` best, ties by the smallest rowid: a bounded sort, no full one."""

@@ -4,39 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .porter import stem
 
-_WORD = r"[\p{L}\p{N}]+"
+_WORD, _MARKED_WORD = r"[\p{L}\p{N}]+", r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 
 
 def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else re.findall(r"[^\W_]+", fold(t)))
-
-
-@lru_cache(1 << 18)
-def _known_stem(term: str) -> str:
-    return stem(term)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _stemmed(terms: pd.Series) -> pd.Series:
-    from . import tokenize  # the worker's own module, whose cache lives as long as the worker
-
-    return terms.map(lambda ts: [tokenize._known_stem(t) for t in ts])
-
-
 class Tokenizer:
     """``Tokenizer("porter unicode61 remove_diacritics 0")`` and the like."""
 
@@ -54,19 +35,21 @@ class Tokenizer:
         self.diacritics = self.options.get("remove_diacritics", "1") != "0"
         self.case = self.options.get("case_sensitive", "0") == "1"
 
-    def array(self, text: Column) -> Column:
-        """Terms in order. Built-in functions unless diacritics are removed or terms are stemmed."""
-        terms = self._base(text)
-        return _stemmed(terms) if self.porter else terms
-
-    def _base(self, text: Column) -> Column:
+    def tokens(self, text: Column) -> Column:
+        """Tokens in order, by built-in functions; ``final`` makes them terms."""
         text = F.coalesce(text, F.lit(""))
         if self.base == "trigram":
             t = text if self.case else F.lower(text)
             return F.regexp_extract_all(t, F.lit("(?s)(?=(.{3}))"), F.lit(1))  # an empty match at each place that has three letters
+        return F.regexp_extract_all(F.lower(text), F.lit(_MARKED_WORD if self.diacritics else _WORD), F.lit(0))
+
+    def final(self) -> Callable[[str], str] | None:
+        """What turns a token into a term, if anything: it is applied to the distinct tokens of a batch, not to every word."""
+        if self.base == "trigram":
+            return None
         if self.diacritics:
-            return _folded(text)
-        return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+            return (lambda t: stem(fold(t))) if self.porter else fold
+        return stem if self.porter else None
 
     def terms(self, text: str) -> list[str]:
         """Terms of a query string, on the driver."""

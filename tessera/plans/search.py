@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fts.index import FtsIndex
 from ..functions import expr as E
-from ..session import table
+from ..session import shared_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -18,8 +20,19 @@ len as (select doc_id, count(*)::double l from tok group by 1),
 g as (select count(*)::double n, avg(l) mean from (select d.doc_id, coalesce(len.l, 0) l from documents d left join len using (doc_id)) x)"""
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def index(spark, sf_dir: str, tokenize: str = "unicode61 remove_diacritics 0", columns=("text", "source"), detail: str = "full") -> FtsIndex:
-    return FtsIndex.build(table(spark, sf_dir, "documents"), "doc_id", columns, tokenize, detail)
+    """The stored index of documents: built by the first query that needs it in an application, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir, tokenize, columns, detail)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/fts-{uuid.uuid4().hex}"
+        docs = table(spark, sf_dir, "documents")
+        # a folder of the index for some thousands of documents
+        FtsIndex.build(docs, "doc_id", columns, tokenize, detail).save(path, min(1024, 1 + docs.count() // 5000))
+        _STORED[key] = path
+    return FtsIndex.open(spark, _STORED[key])
 
 
 def match(name: str, query: str, sql: str) -> None:
@@ -66,8 +79,7 @@ def fts_porter(spark, sf_dir):
 
 
 def fts_index_stats(spark, sf_dir):
-    p = index(spark, sf_dir).postings
-    return p.groupBy("term").agg(F.countDistinct("docid").alias("docs"), F.sum("tf").cast("bigint").alias("hits")).where("docs >= 20")
+    return index(spark, sf_dir).vocabulary.where("docs >= 20")
 
 
 def hybrid_search(spark, sf_dir):
