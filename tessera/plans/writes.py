@@ -88,10 +88,29 @@ def denorm_lookup(spark, sf_dir):
     return o.select("o_orderkey", "customer", "priority_lc")
 
 
-@query("select s_name as key, s_nationkey::varchar as value from supplier where s_name >= 'Supplier#00000001' and s_suppkey % 2 = 0 order by s_name limit 30")
+@query("select s_name as key, s_nationkey::varchar as value from supplier where s_name >= 'Supplier#00000001' and s_name < 'Supplier#9' order by s_name")
 def kv_scan(spark, sf_dir):
     from ..sources.kv import KeyValues
 
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0")
+    s = table(spark, sf_dir, "supplier")
     kv = KeyValues(s.select(F.col("s_name").cast("binary").alias("key"), F.col("s_nationkey").cast("string").cast("binary").alias("value")))
-    return kv.scan(b"Supplier#00000001").limit(30).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return kv.scan(b"Supplier#00000001", b"Supplier#9").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("select c_custkey, c_name, case when c_custkey % 3 = 0 then ((c_acctbal * 2 + 1) * 2 + 2) else c_acctbal end as c_acctbal from customer")
+def upsert_twice(spark, sf_dir):
+    """Every third customer is named twice in the batch; the second row sees what the first one did."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    batch = c.select(F.explode(F.array(F.lit(2.0), F.lit(1.0))).alias("c_acctbal"), (F.col("c_custkey") + 5_000_000).alias("c_custkey"), F.upper("c_name").alias("c_name"))
+    batch = batch.withColumn("o", F.col("c_acctbal"))
+    return D.upsert(_customer(spark, sf_dir), batch, CUSTOMER, "c_name", {"c_acctbal": lambda old, new: old["c_acctbal"] * 2 + new["c_acctbal"]}, "o").table
+
+
+@query("select c_custkey, c_name, c_acctbal from customer where c_custkey % 5 <> 0 union all select 9000000 + c_custkey, upper(c_name), 0.0::double from customer where c_custkey % 5 = 0 union all select c_custkey, 'fresh ' || c_custkey, 0.0::double from customer where c_custkey % 5 = 0")
+def replace_two_keys(spark, sf_dir):
+    """New rows that meet one old row by its rowid and by its name."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0")
+    both = c.select(F.explode(F.array((F.col("c_custkey") * 2).cast("long"), (F.col("c_custkey") * 2 + 1).cast("long"))).alias("o"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    even = F.col("o") % 2 == 0
+    batch = both.select("o", F.when(even, F.col("k")).otherwise(F.col("k") + 9_000_000).alias("c_custkey"), F.when(even, F.concat(F.lit("fresh "), "k")).otherwise(F.upper("name")).alias("c_name"))
+    return D.insert(_customer(spark, sf_dir), batch, CUSTOMER, "o", "replace").table

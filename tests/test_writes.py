@@ -68,6 +68,42 @@ def test_upsert_update(spark):
     assert rows(got) == mirror(con)
     with pytest.raises(D.ConstraintError):
         D.upsert(df, new.union(new), T, "k", {})
+    twice = [(1, 30, "b", 4), (2, 31, "e", 6), (3, 32, "E", 1), (4, 33, "B", 9), (5, 34, "e", 5)]
+    fold = {"hits": lambda old, new: F.coalesce(old["hits"], F.lit(0)) * 2 + new["hits"]}
+    got = D.upsert(got, spark.createDataFrame(twice, "o int, id long, k string, hits long"), T, "k", fold, "o")
+    con.executemany("insert into kv(id, k, hits) values (?,?,?) on conflict(k) do update set hits = coalesce(hits, 0) * 2 + excluded.hits", [r[1:] for r in twice])
+    assert rows(got.table) == mirror(con) and [(e, n.count()) for e, n, _ in got.events] == [("insert", 1), ("update", 1)]
+
+
+TWO = D.TableDef("two", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("a", "TEXT", nocase=True), D.ColumnDef("b", "INTEGER")], "id", [("a",), ("b",)])
+
+
+@pytest.mark.parametrize("how", ["ignore", "replace"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_several_unique_keys_row_by_row(spark, how, seed):
+    """Batches whose rows collide with old rows and with each other on either key, against sqlite3."""
+    import random
+
+    r = random.Random(seed)
+    con = sqlite3.connect(":memory:")
+    con.execute("create table two(id integer primary key, a text unique collate nocase, b integer unique)")
+    old = [(i, f"k{i}", i * 10) for i in range(6)]
+    con.executemany("insert into two values (?,?,?)", old)
+    batch = [(i, r.randint(3, 20), r.choice([None, f"{r.choice('kK')}{r.randint(0, 9)}"]), r.choice([None, r.randint(0, 9) * 10])) for i in range(30)]
+    con.executemany(f"insert or {how} into two values (?,?,?)", [x[1:] for x in batch])
+    got = D.insert(spark.createDataFrame(old, TWO.schema), spark.createDataFrame(batch, "o int, id long, a string, b long").repartition(3), TWO, "o", how)
+    assert sorted(map(tuple, got.table.collect()), key=repr) == sorted(con.execute("select * from two").fetchall(), key=repr)
+
+
+def test_rowids_and_defaults_of_many_rows(spark):
+    from datetime import datetime
+
+    t = D.TableDef("t", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("n", "INTEGER"), D.ColumnDef("at", "TEXT", default=D.NOW)], "id")
+    old = spark.createDataFrame([(7, 1, "x")], t.schema)
+    new = spark.range(1000).select((F.lit(1000) - F.col("id")).alias("o"), F.col("id").alias("n")).repartition(5)
+    got = D.insert(old, new, t, "o", clock=datetime(2024, 1, 2, 3, 4, 5))
+    assert sorted((r.id, r.n) for r in got.inserted.collect()) == [(8 + k, 999 - k) for k in range(1000)]
+    assert got.last_insert_rowid() == 1007 and {r["at"] for r in got.inserted.select("at").collect()} == {"2024-01-02 03:04:05"}
 
 
 def test_cascade_and_restrict(spark):
