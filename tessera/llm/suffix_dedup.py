@@ -19,6 +19,8 @@ GRAM = 32
 SHARD_BYTES = 1_000_000
 #: A key with more different segments than this is split into its single strings.
 HOT = 2000
+#: Strings whose anchors are found at once: with their places they fit the low bits of a hash.
+SLICE = 1 << 22
 _BASE = 0x2545F4914F6CDD1D
 _UP = _DOWN = powers(1, _BASE)
 
@@ -52,8 +54,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     total, down = _prefix(data)
     grams = len(data) - gram + 1
     key = mix((total[gram:] - total[:grams]) * down[:grams])
-    bits = max(1, int(grams).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64(2 * SLICE - 1)  # the same bits for every text, so that equal strings have equal anchors
     best = (mix(key) & ~low) | np.arange(grams, dtype=np.uint64)
     width, need = 1, length - gram + 1
     while width * 2 <= need:
@@ -82,8 +83,13 @@ def _scan(length: int):
             m, texts = b.column(0).to_numpy(), text_bytes(b.column(1))
             for group in grouped(texts):
                 ends = np.cumsum([len(texts[i]) for i in group])
-                key, whole, first, many = segments(np.frombuffer(b"".join(texts[i] for i in group), np.uint8), ends, length)
-                if len(key):
+                data = np.frombuffer(b"".join(texts[i] for i in group), np.uint8)
+                for lo in range(0, max(1, len(data)), SLICE):  # a longer text goes in slices that share a string's bytes
+                    part = data[lo : lo + SLICE + length - 1]
+                    key, whole, first, many = segments(part, np.clip(ends - lo, 0, len(part)), length)
+                    if not len(key):
+                        continue
+                    first = first + lo
                     doc = np.searchsorted(ends, first, "right")
                     start = first - np.concatenate(([0], ends[:-1]))[doc]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(m[np.asarray(group)[doc]]), pa.array(start), pa.array(many)], ["key", "f", "m", "start", "n"])

@@ -32,8 +32,9 @@ def corpus(seed=4):
     return rows
 
 
-@pytest.mark.parametrize("hot,shard", [(2000, 1_000_000), (3, 1_000_000), (2000, 900)])
-def test_matches_brute_force(spark, monkeypatch, hot, shard):
+@pytest.mark.parametrize("hot,shard,slices", [(2000, 1_000_000, 1 << 22), (3, 1_000_000, 1 << 22), (2000, 900, 256)])
+def test_matches_brute_force(spark, monkeypatch, hot, shard, slices):
+    monkeypatch.setattr(S, "SLICE", slices)
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "SHARD_BYTES", shard)
     rows = corpus()
@@ -52,3 +53,13 @@ def test_suffix_ranks():
     for _ in range(200):
         s = np.array([r.randint(1, r.choice([1, 2, 9])) for _ in range(r.randint(1, 50))])
         assert np.argsort(S.suffix_ranks(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_anchors_dont_depend_on_the_text_around():
+    """A passage has the same keys in a short and in a long text, and in slices."""
+    r = random.Random(9)
+    passage = bytes(r.randrange(97, 123) for _ in range(900))
+    long = bytes(r.randrange(97, 123) for _ in range(300_000)) + passage
+    one = S.segments(np.frombuffer(passage, np.uint8), np.array([len(passage)]))
+    two = S.segments(np.frombuffer(long, np.uint8), np.array([len(long)]))
+    assert set(one[0].tolist()) <= set(two[0].tolist()) and len(one[0]) > 3
