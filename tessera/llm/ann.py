@@ -13,8 +13,8 @@ from .common import Scratch
 
 PIVOTS = 256
 PREFIX = 64
-CANDIDATES = 0.15
-LEAST_CANDIDATES = 400
+#: So many distinct vectors of a shard are reranked: a share of its rows, and a number besides.
+CANDIDATES, MORE_CANDIDATES = 0.15, 300
 ROWS_A_SHARD = 16_384
 QUERIES_A_BLOCK = 1024
 
@@ -48,7 +48,7 @@ def _describe(pivots: np.ndarray, longest: float, prefix: int, query: bool):
     return describe
 
 
-def search_shard(queries: pd.DataFrame, rows: pd.DataFrame, k: int, pivots: int, share: float, least: int) -> pd.DataFrame:
+def search_shard(queries: pd.DataFrame, rows: pd.DataFrame, k: int, pivots: int, share: float, more: int) -> pd.DataFrame:
     """The best ``k`` of one shard for a block of queries.
 
     The shard's distinct vectors are posted under each of their pivots with their
@@ -68,7 +68,7 @@ def search_shard(queries: pd.DataFrame, rows: pd.DataFrame, k: int, pivots: int,
     order = np.argsort(perm.ravel(), kind="stable")
     posted, place = (order // prefix).astype(np.int32), (prefix - order % prefix).astype(np.int16)
     begin = np.searchsorted(perm.ravel()[order], np.arange(pivots + 1))
-    take = min(len(x), max(least, int(np.ceil(share * len(ids)))))
+    take = min(len(x), more + int(np.ceil(share * len(ids))))
     out = []
     for q, v, own in zip(queries["vec_id"], queries["embedding"], queries["perm"]):
         near = np.zeros(len(x), np.int32)
@@ -93,7 +93,7 @@ def search_shard(queries: pd.DataFrame, rows: pd.DataFrame, k: int, pivots: int,
     return pd.concat(out, ignore_index=True)
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = CANDIDATES, least: int = LEAST_CANDIDATES) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = CANDIDATES, more: int = MORE_CANDIDATES) -> DataFrame:
     """The ``k`` rows with the largest inner product found for each query: ``query_id, rank, vec_id, score``.
 
     Both frames are ``(vec_id long, embedding array<float or double>)`` of one
@@ -101,8 +101,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
     smallest by a hash of the id, the only sample) are its pivots; every row is
     described by its ``prefix`` nearest pivots in order and posted under them, in
     shards of about ``ROWS_A_SHARD`` rows. Queries go in blocks against each shard,
-    as many distinct vectors as ``share`` of a shard's rows (``least`` at least, so small
-    tables are searched whole) are ranked by the exact product, and the shards' best are merged.
+    ``more`` distinct vectors and as many as ``share`` of a shard's rows are ranked by the
+    exact product, and the shards' best are merged.
 
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do null ids; a query without candidates has no rows; ties go to the smaller id;
@@ -137,7 +137,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
     def pair(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_shard(q, r, k, len(p), share, least)
+        return search_shard(q, r, k, len(p), share, more)
 
     found = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(pair, out)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -34,7 +34,7 @@ def test_ann_recall_and_scores(spark, monkeypatch):
     rows, odd = vectors(spark, 1200, 32)
     df = spark.createDataFrame(rows + odd, VEC)
     got = defaultdict(dict)
-    for r in ann.search(df, df.where("vec_id % 20 = 0"), 20, share=0.3, least=50).collect():
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), 20, share=0.3, more=10).collect():
         got[r.query_id][r["rank"]] = (r.vec_id, r.score)
     ok = usable(rows + odd)
     hits = total = 0
@@ -74,7 +74,7 @@ def test_ann_recall_with_a_hot_group_of_copies():
     rows, queries = frame(np.arange(n), x), frame(np.array([0, n, n + 1, n + 2, n + 3]), asked)
     results = []
     for at in (np.arange(n), rng.permutation(n)):
-        got = ann.search_shard(queries, rows.iloc[at], 20, ann.PIVOTS, ann.CANDIDATES, ann.LEAST_CANDIDATES)
+        got = ann.search_shard(queries, rows.iloc[at], 20, ann.PIVOTS, ann.CANDIDATES, ann.MORE_CANDIDATES)
         results.append({q: list(g["vec_id"]) for q, g in got.groupby("query_id")})
     hits = 0
     for q, v in zip(queries["vec_id"], asked):
@@ -84,6 +84,25 @@ def test_ann_recall_with_a_hot_group_of_copies():
     assert results[0] == results[1] and hits / 100 >= 0.9
 
 
+def test_ann_recall_as_registered():
+    """A full shard of unrelated vectors of 64 dimensions, the hardest case, with the registered parameters."""
+    rng = np.random.default_rng(8)
+    n, dim = ann.ROWS_A_SHARD, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pivots = np.hstack([x[rng.choice(n, ann.PIVOTS, replace=False)], np.zeros((ann.PIVOTS, 1))])
+    perm = ann.nearest_pivots(x, np.zeros(n), pivots, ann.PREFIX)
+    rows = pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "perm": list(perm)})
+    asked = rows.iloc[:: n // 40]
+    got = {q: set(g["vec_id"]) for q, g in ann.search_shard(asked, rows, 20, ann.PIVOTS, ann.CANDIDATES, ann.MORE_CANDIDATES).groupby("query_id")}
+    hits = 0
+    for q in asked["vec_id"]:
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_ann_copies_and_repeated_rows():
     rows = pd.DataFrame({"vec_id": [5, 5, 1, 9, 9, 9, 3], "embedding": [[1.0, 0.0]] * 6 + [[2.0, -0.0]], "perm": [[0]] * 7})
     asked = lambda q: pd.DataFrame({"vec_id": [q], "embedding": [[1.0, 0.0]], "perm": [[0]]})
