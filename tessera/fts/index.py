@@ -122,7 +122,7 @@ class FtsIndex:
         new = FtsIndex.build(docs, docid, self.columns, self.spec, self.detail)
         if new.stats.join(self.stats, "docid", "left_semi").limit(1).count():
             raise ValueError("duplicate docid")
-        return FtsIndex(self.postings.drop("bucket").union(new.postings), self.stats.union(new.stats), self.columns, self.spec, self.detail)
+        return FtsIndex(self.postings.drop("bucket").unionByName(new.postings), self.stats.unionByName(new.stats), self.columns, self.spec, self.detail)
 
     def delete(self, ids: DataFrame) -> FtsIndex:
         """Without the documents whose ``docid`` is in ``ids``."""

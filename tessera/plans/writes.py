@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dml as D
@@ -114,3 +116,82 @@ def replace_two_keys(spark, sf_dir):
     even = F.col("o") % 2 == 0
     batch = both.select("o", F.when(even, F.col("k")).otherwise(F.col("k") + 9_000_000).alias("c_custkey"), F.when(even, F.concat(F.lit("fresh "), "k")).otherwise(F.upper("name")).alias("c_name"))
     return D.insert(_customer(spark, sf_dir), batch, CUSTOMER, "o", "replace").table
+
+
+def _database(spark, tables: dict):
+    """A fresh database with the tables ``name: (definition, frame)``."""
+    from ..session import shared_dir
+    from ..sources.database import Database
+
+    db = Database(spark, f"{shared_dir(spark)}/db-{uuid.uuid4().hex}")
+    with db.transaction() as tx:
+        for name, (t, rows) in tables.items():
+            tx.create_table(t)
+            tx.insert(name, rows.withColumn("order_of_rows", F.col(t.rowid)), "order_of_rows")
+    return db
+
+
+@query("select c_nationkey::bigint as c_nationkey, c_custkey from customer where c_nationkey = 3 and c_custkey >= 100 and c_custkey < 900")
+def index_seek(spark, sf_dir):
+    """A table with a unique index of two columns, read by an equal first column and a range of the second."""
+    from ..sources.database import IndexDef
+
+    rows = D.conform(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), CLIENT)
+    db = _database(spark, {"customer": (D.TableDef("customer", CLIENT.columns, "c_custkey"), rows)})
+    with db.transaction() as tx:
+        tx.create_index(IndexDef("by_nation", "customer", ("c_nationkey", "c_custkey"), unique=True))
+    return db.seek("by_nation", 3, low=100, high=900)
+
+
+@query("select 0 as n where false union all select count(*) from customer where c_name is null")
+def unique_index(spark, sf_dir):
+    """Rows that a unique index lets in a second time: none."""
+    from ..sources.database import IndexDef
+
+    rows = _customer(spark, sf_dir)
+    free = D.TableDef("customer", CUSTOMER.columns, "c_custkey")
+    db = _database(spark, {"customer": (free, rows)})
+    with db.transaction() as tx:
+        tx.create_index(IndexDef("one_name", "customer", ("c_name",), unique=True))
+    let_in = 0
+    try:
+        with db.transaction() as tx:
+            again = rows.select((F.col("c_custkey") + 7_000_000).alias("c_custkey"), F.upper("c_name").alias("c_name"), F.col("c_custkey").alias("o"))
+            let_in = tx.insert("customer", again, "o").changes()
+    except D.ConstraintError:
+        pass
+    return spark.createDataFrame([(let_in,)], "n bigint")
+
+
+@query(r"select p_partkey as rowid from part where p_partkey % 4 = 1 and regexp_matches(lower(p_name || ' renamed'), '(^|[^\p{L}\p{N}])renamed($|[^\p{L}\p{N}])') union all select 2000000 + p_partkey from part where p_partkey % 10 = 0")
+def trigger_fts(spark, sf_dir):
+    """A full-text table kept in step by stored triggers over inserts, updates and deletes."""
+    from ..sources.database import FtsDef, Trigger
+
+    t = D.TableDef("part", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("name", "TEXT")], "id")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("name"))
+    db = _database(spark, {"part": (t, rows)})
+    add, gone = {"fts_insert": "names", "rowid": "new.id", "values": {"name": "new.name"}}, {"fts_delete": "names", "rowid": "old.id"}
+    with db.transaction() as tx:
+        tx.create_fts(FtsDef("names", ("name",), content="part"))
+        for name, event, actions in (("ai", "insert", (add,)), ("ad", "delete", (gone,)), ("au", "update", (gone, add))):
+            tx.create_trigger(Trigger(name, "part", event, actions=actions))
+    with db.transaction() as tx:
+        tx.delete("part", F.col("id") % 4 == 0)
+        tx.update("part", {"name": F.concat("name", F.lit(" renamed"))}, F.col("id") % 4 == 1)
+        tx.insert("part", rows.where("id % 10 = 0").select(F.col("id").alias("o"), (F.col("id") + 2_000_000).alias("id"), F.lit("entirely renamed").alias("name")), "o")
+    return db.fts("names").match("renamed")
+
+
+@query("select count(*) as n, (select count(*) from nation) as texts, (select max(n_nationkey)::bigint from nation) as top from nation")
+def registry_calls(spark, sf_dir):
+    """A registered expression, Arrow function and aggregate over nations."""
+    from ..functions.registry import Registry
+
+    r = Registry()
+    r.expression("as_key", lambda x: x.cast("bigint"), 1, 1)
+    r.scalar("shout", lambda s: s.str.upper() + "!", "string", 1, 1)
+    r.aggregate("largest", lambda s: int(s.max()), "bigint", 1, 1)
+    n = table(spark, sf_dir, "nation").select(r.call("as_key", "n_nationkey").alias("k"), r.call("shout", "n_name").alias("t"))
+    a = n.agg(F.count("*").alias("n"), F.count_if(F.col("t").endswith("!")).alias("texts"))
+    return a.crossJoin(n.groupBy().agg(r.call("largest", "k").alias("top")))  # one row each
