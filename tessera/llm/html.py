@@ -291,3 +291,13 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     scratch.drop("templates")
     row = parsed.join(hit, "rid", "left")
     return row.select("page_id", "url", "texts", "nodes", "hashes", "parents", "drop").mapInArrow(_keep, "page_id long, url string, text string")
+
+
+#: DuckDB SQL for ``extract`` over pages of one article each, whose blocks lie in plain tags: the article's markup taken away.
+SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') h from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') t from a),
+c as (select page_id, url, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') t from b),
+e as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from c)
+select page_id, url, text, length(text)::bigint as n_chars from e
+"""

@@ -243,3 +243,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     words = meta.where("full").join(low, "component").select("doc_id", "m", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
     none = meta.where("not full").select("doc_id", "m", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return words.union(none)
+
+
+#: DuckDB SQL for the classes of ``near_duplicates``, where ids are unique: all pairs that share a shingle, compared exactly.
+SQL = r"""
+with recursive d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+u as (select t, any_value(w) w, min(doc_id) lo from d where len(w) > 0 group by t),
+s as (select lo, md5(string_agg(x, ' ' order by j)) g from (select lo, i, w[i + j] x, j from (select lo, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from u) a, range(0, 5) b(j) where i + j <= len(w)) c group by lo, i),
+k as (select lo, g, count(*) c from s group by 1, 2),
+n as (select lo, sum(c) n from k group by 1),
+f as (select g from k group by g having count(*) > 1),
+pr as (select a.lo a, b.lo b, sum(least(a.c, b.c)) m from (select * from k semi join f using (g)) a join k b on a.g = b.g and a.lo < b.lo group by 1, 2),
+links as (select a, b from pr join n x on x.lo = a join n y on y.lo = b where m >= 0.8 * (x.n + y.n - m)),
+e as (select a, b from links union all select b, a from links),
+r(id, c) as (select lo, lo from u union select e.b, r.c from r join e on e.a = r.id),
+cls as (select id, min(c) c from r group by 1)
+select doc_id, case when len(d.w) = 0 then doc_id else cls.c end as class_id, doc_id = case when len(d.w) = 0 then doc_id else cls.c end as kept
+from d left join u on u.t = d.t left join cls on cls.id = u.lo
+"""

@@ -59,4 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_permutation_ann, op3_mix_sources, op4_secret_scan, op5_embedding_dedup, op6_html_text, op7_phrase_automata, op8_dart_minhash, op9_best_fit_packing, op10_toxicity)}
-ORACLE = {"op3_mix_sources": mixing.SQL, "op4_secret_scan": secrets.sql(), "op5_embedding_dedup": embed_dedup.SQL, "op7_phrase_automata": phrases.SQL}
+ORACLE = {
+    "op1_suffix_array": suffix_dedup.SQL, "op3_mix_sources": mixing.SQL, "op4_secret_scan": secrets.sql(), "op5_embedding_dedup": embed_dedup.SQL, "op6_html_text": html.SQL,
+    "op7_phrase_automata": phrases.SQL, "op8_dart_minhash": near_dedup.SQL,
+}

@@ -285,3 +285,18 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch.free()
     out = d.join(runs, "m", "left").select("doc_id", "text", "runs")
     return out.mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: DuckDB SQL for ``remove_repeated_bytes``: every string of 200 bytes counted. Texts are read in pieces of 4096 starts.
+SQL = r"""
+with d as (select doc_id, row_number() over () rid, encode(coalesce(text, '')) b from documents),
+blocks as (select rid, unnest(range(0, octet_length(b), 4096)) o from d where octet_length(b) >= 200),
+piece as (select rid, o, array_slice(b, o + 1, o + 4096 + 199) p from blocks join d using (rid)),
+w as (select rid, o + i as i, md5(array_slice(p, i + 1, i + 200)) k from (select rid, o, p, unnest(range(0, least(4096, octet_length(p) - 199))) i from piece where octet_length(p) >= 200) x),
+c as (select k from w group by k having count(*) > 1),
+g as (select rid, i, sum(case when i - prev <= 200 then 0 else 1 end) over (partition by rid order by i) s from (select rid, i, lag(i) over (partition by rid order by i) prev from w semi join c using (k)) x),
+sp as (select rid, min(i) a, max(i) + 200 z from g group by rid, s),
+q as (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) pz from sp),
+r as (select rid, sum(z - a)::bigint gone, count(*) n, string_agg(hex(array_slice(b, pz + 1, a)), '' order by a) || hex(array_slice(any_value(b), max(z) + 1, octet_length(any_value(b)))) kept from q join d using (rid) group by rid)
+select doc_id, octet_length(b)::bigint n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans, sha256(coalesce(unhex(kept), b)) kept_sha256 from d left join r using (rid)
+"""
