@@ -62,6 +62,14 @@ def _postings(width: int, detail: str, final):
     return rows
 
 
+def _idf(n: int, df: int) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+
+def _scale(length, mean: float):
+    return F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(mean))
+
+
 class FtsIndex:
     """``postings(term, docid, col, tf, positions, length)`` and ``stats(docid, lens)`` of some text columns.
 
@@ -99,8 +107,14 @@ class FtsIndex:
         rows.repartition("bucket", F.pmod("docid", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "docid").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         lens.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("col", "tf")))["tf"].alias("lens")).write.mode("overwrite").parquet(f"{path}/stats")
         stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        stored.groupBy("term").agg(F.count_distinct("docid").alias("docs"), F.sum("tf").cast("long").alias("hits")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         total = spark.read.parquet(f"{path}/stats").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("lens", F.lit(0), lambda a, x: a + x)), F.lit(0)).alias("words"))
+        n, words = total.first()
+        # the largest part of a score that a term gives any document, a column at a time
+        part = F.max(F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + _scale(F.col("length"), words / n if words else 1.0)))
+        each = stored.groupBy("term", "col").agg(F.sum("tf").cast("long").alias("hits"), part.alias("bound"))
+        docs = stored.groupBy("term").agg(F.count_distinct("docid").alias("docs"))
+        terms = each.groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("bound").alias("bound")).join(docs, "term")
+        terms.select("term", "docs", "hits", "bound").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         about = [F.lit(x).alias(k) for k, x in (("columns", "\x1f".join(self.columns)), ("tokenizer", self.spec), ("detail", self.detail), ("buckets", buckets))]
         total.select("*", *about).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         return FtsIndex.open(spark, path)
@@ -110,7 +124,7 @@ class FtsIndex:
         a = spark.read.parquet(f"{path}/about").first()
         out = cls(
             spark.read.schema(f"{_ROWS}, bucket int").parquet(f"{path}/postings"), spark.read.schema("docid long, lens array<int>").parquet(f"{path}/stats"), tuple(a["columns"].split("\x1f")), a["tokenizer"], a["detail"],
-            spark.read.schema("term string, docs long, hits long").parquet(f"{path}/terms"), (a["n"], a["words"] / a["n"] if a["n"] else 0.0),
+            spark.read.schema("term string, docs long, hits long, bound double").parquet(f"{path}/terms"), (a["n"], a["words"] / a["n"] if a["n"] else 0.0),
         )
         out.buckets = a["buckets"]
         return out
@@ -218,15 +232,58 @@ class FtsIndex:
             df = [known[t[0]] for t in plain]
         else:
             df = hits.agg(*[F.count(f"f{i}").alias(f"f{i}") for i in range(len(found))]).first()  # one number a leaf
-        scale = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean))
+        scale = _scale(F.col("length"), mean)
         rank = F.lit(0.0)
         for i, (_, scored) in enumerate(found):
             if scored:
-                idf = max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)), LEAST_IDF)
+                idf = _idf(n, df[i])
                 f = F.col(f"f{i}")
                 rank = rank + F.coalesce(F.lit(idf) * (f * F.lit(K1 + 1) / (f + scale)), F.lit(0.0))
         return hits.where(keep).select(F.col("docid").alias("rowid"), (-rank).alias("rank"))
 
     def top(self, query: str, k: int, weights: list[float] | None = None) -> DataFrame:
-        """The ``k`` best, ties by the smallest rowid: a bounded sort, no full one."""
-        return self.score(query, weights).orderBy("rank", "rowid").limit(k)
+        """The ``k`` best, ties by the smallest rowid: a bounded sort, no full one.
+
+        Where a stored index is asked for any of some single terms, without weights, terms that
+        can't lift a document into the best are only read for documents that another term
+        brings in: the ``k``-th best of the documents of the most telling term is a
+        floor, and the terms whose bounds add up to less than it bring in none of their own.
+        """
+        tree = parse(query)
+        found = [leaf for leaf, _ in leaves(tree)]
+        terms = [self.tokenizer.terms(leaf.text) for leaf in found]
+        plain = all(len(t) == 1 for t in terms) and not any(leaf.prefix or leaf.columns for leaf in found) and _only(tree, "or")
+        n, mean = self.global_stats()
+        if self.vocabulary is None or weights or not plain or len({t[0] for t in terms}) < 2 or not n or mean <= 0:
+            return self.score(query, weights).orderBy("rank", "rowid").limit(k)
+        names = list(dict.fromkeys(t[0] for t in terms))
+        times = {t: sum(x[0] == t for x in terms) for t in names}
+        known = {r["term"]: (r["docs"], r["bound"]) for r in self.vocabulary.where(F.col("term").isin(names)).collect()}
+        idf = {t: times[t] * _idf(n, known[t][0]) for t in names if t in known}
+        order = sorted(idf, key=lambda t: idf[t] * known[t][1])
+        if not order:
+            return self.score(query).orderBy("rank", "rowid").limit(k)
+
+        def ranked(hits: DataFrame) -> DataFrame:
+            hits = hits.groupBy("docid").agg(F.max("length").alias("length"), *[F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"f{i}") for i, t in enumerate(order)])
+            rank = F.lit(0.0)
+            for i, t in enumerate(order):
+                rank = rank + F.coalesce(F.lit(idf[t]) * (F.col(f"f{i}") * F.lit(K1 + 1) / (F.col(f"f{i}") + _scale(F.col("length"), mean))), F.lit(0.0))
+            return hits.select(F.col("docid").alias("rowid"), (-rank).alias("rank"))
+
+        rows = lambda t: self.term_postings(t).select("term", "docid", "tf", "length")
+        best = ranked(rows(order[-1])).orderBy("rank").limit(k).agg(F.max("rank"), F.count("*")).first()
+        floor = -best[0] if best[1] == k else 0.0
+        weak, total = 0, 0.0
+        while weak < len(order) - 1 and total + idf[order[weak]] * known[order[weak]][1] < floor * (1 - 1e-9):
+            total += idf[order[weak]] * known[order[weak]][1]
+            weak += 1
+        hits = reduce(DataFrame.union, [rows(t) for t in order[weak:]])
+        if weak:
+            ids = hits.select("docid").distinct()
+            hits = hits.union(reduce(DataFrame.union, [rows(t) for t in order[:weak]]).join(ids, "docid", "left_semi").select("term", "docid", "tf", "length"))
+        return ranked(hits).orderBy("rank", "rowid").limit(k)
+
+
+def _only(node: Node | Leaf, kind: str) -> bool:
+    return isinstance(node, Leaf) or (node.kind == kind and _only(node.left, kind) and _only(node.right, kind))

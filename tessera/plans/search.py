@@ -66,6 +66,11 @@ def fts_bm25_topk(spark, sf_dir):
     return d.withColumn("rank", F.round("rank", 9)).orderBy("rank", "rowid").limit(20)
 
 
+def fts_pruned_topk(spark, sf_dir):
+    """Rare and very frequent terms: the frequent ones only add to documents that the rare ones bring in."""
+    return index(spark, sf_dir).top("the OR of OR stupid OR clown OR moron", 20).withColumn("rank", F.round("rank", 9))
+
+
 def fts_bm25f_weights(spark, sf_dir):
     return index(spark, sf_dir).score("src7 OR stupid", [2.0, 10.0]).withColumn("rank", F.round("rank", 9))
 
@@ -75,7 +80,7 @@ def fts_trigram(spark, sf_dir):
 
 
 def fts_porter(spark, sf_dir):
-    return index(spark, sf_dir, "porter unicode61 remove_diacritics 1", ("text",)).top("disgust OR losers", 20).withColumn("rank", F.round("rank", 9))
+    return index(spark, sf_dir, "porter unicode61 remove_diacritics 1", ("text",)).score("disgust OR losers").withColumn("rank", F.round("rank", 9)).orderBy("rank", "rowid").limit(20)
 
 
 def fts_index_stats(spark, sf_dir):
@@ -92,11 +97,28 @@ def hybrid_search(spark, sf_dir):
     return out.select("rowid", d.source, tier.alias("tier"), F.round("rank", 9).alias("rank")).orderBy("tier", "rank", "rowid").limit(50)
 
 
-for f in (fts_bm25_topk, fts_bm25f_weights, fts_trigram, fts_porter, fts_index_stats, hybrid_search):
+for f in (fts_bm25_topk, fts_pruned_topk, fts_bm25f_weights, fts_trigram, fts_porter, fts_index_stats, hybrid_search):
     QUERIES[f.__name__] = f
 ORACLE["fts_bm25_topk"] = _rank(["stupid", "clown", "thing"]) + " order by rank, rowid limit 20"
+ORACLE["fts_pruned_topk"] = _rank(["the", "of", "stupid", "clown", "moron"]) + " order by rank, rowid limit 20"
 ORACLE["fts_bm25f_weights"] = _rank(["src7", "stupid"], (2.0, 10.0))
 ORACLE["fts_trigram"] = "select doc_id as rowid from documents where contains(lower(text), 'rash')"
 ORACLE["fts_index_stats"] = f"with {_TOK} select term, count(distinct doc_id) as docs, count(*) as hits from tok where strlen(term) <= 256 group by term having count(distinct doc_id) >= 20"
 ORACLE["hybrid_search"] = f"""select rowid, source, case when lower(text) like 'the %' then 0 when instr(lower(text), ' stupid') > 0 then 1 else 2 end as tier, rank from ({_rank(["stupid", "the"])}) r
  join documents d on d.doc_id = r.rowid left join labels l on l.doc_id = d.doc_id where (lang is null or lang = 'en') and coalesce(toxic, 0) = 0 order by tier, rank, rowid limit 50"""
+
+
+def _porter_sql(stems: dict[str, tuple[str, ...]]) -> str:
+    """Ranks of stemmed terms, each given by the words of the documents that have it."""
+    tok = r"""tok as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) term from documents),
+len as (select doc_id, count(*)::double l from tok group by 1),
+g as (select count(*)::double n, avg(l) mean from (select d.doc_id, coalesce(len.l, 0) l from documents d left join len using (doc_id)) x)"""
+    parts = []
+    for words in stems.values():
+        has = f"term in ({', '.join(repr(w) for w in words)})"
+        parts.append(f"select doc_id, count(*)::double wf, (select count(distinct doc_id) from tok where {has})::double df from tok where {has} group by 1")
+    return f"""with {tok}, hit as ({" union all ".join(parts)})
+    select doc_id as rowid, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * wf * 2.2 / (wf + 1.2 * (0.25 + 0.75 * l / mean))), 9) as rank from hit join len using (doc_id), g group by 1 order by rank, rowid limit 20"""
+
+
+ORACLE["fts_porter"] = _porter_sql({"disgust": ("disgust", "disgusts", "disgusted", "disgusting"), "loser": ("loser", "losers")})

@@ -214,3 +214,17 @@ def test_json_reads_match_sqlite(spark):
     assert J.path_of(-1) == "$[#-1]"
     many = df.where("i = 0").select(J.extract_many(F.col("d"), "$.z", "$.q", "$.t")).first()[0]
     assert many == '[{"b":1,"a":2.50},null,true]'
+
+
+def test_pruned_top_is_the_top_of_all(spark, tmp_path):
+    """Frequent terms that can't lift a document are read for few documents, with the same result."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i, " ".join(["common"] * r.randint(0, 3) + [r.choice(["x", "y", "rare" if i % 23 == 0 else "z"]) for _ in range(r.randint(1, 12))])) for i in range(400)]
+    ix = FtsIndex.build(spark.createDataFrame(rows, "id long, body string"), "id", ("body",)).save(f"{tmp_path}/ix", 3)
+    for query in ("common OR rare", "common OR x OR rare OR rare", "none OR common", "none OR never", "common"):
+        want = ix.score(query).orderBy("rank", "rowid").limit(7).collect()
+        got = ix.top(query, 7).collect()
+        assert [x.rowid for x in got] == [x.rowid for x in want] and all(abs(a.rank - b.rank) < 1e-12 for a, b in zip(got, want)), query
+    assert ix.document_frequency("rare") == FtsIndex.build(spark.createDataFrame(rows, "id long, body string"), "id", ("body",)).document_frequency("rare")
