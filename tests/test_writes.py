@@ -146,6 +146,42 @@ def test_sqlite_import(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/t").count() == 3 and spark.read.parquet(f"{tmp_path}/out/empty").count() == 0
 
 
+def test_import_of_a_whole_file(spark, tmp_path):
+    from tessera.sources.database import Database
+
+    path = f"{tmp_path}/y.db"
+    con = sqlite3.connect(path)
+    con.executescript("""create table authors(id integer primary key, name text not null);
+      create table papers(id integer primary key, author int references authors(id) on delete cascade, title text, year text);
+      create unique index by_title on papers(title); create index by_year on papers(year, id);
+      create virtual table search using fts5(title, content='papers', content_rowid='id', tokenize='porter unicode61');
+      create virtual table notes using fts5(head, body); create virtual table bare using fts5(x, content='');""")
+    con.executemany("insert into authors values (?,?)", [(1, "A"), (2, "B")])
+    con.executemany("insert into papers values (?,?,?,?)", [(i, i % 3 or None, f"Running tests {i}", "1999") for i in range(9)])
+    con.execute("insert into notes values ('one', 'two words'), ('three', NULL)")
+    con.commit()
+    con.close()
+    db = Database(spark, f"{tmp_path}/db")
+    lookups = {"papers": [("author_name", "authors", "author", "id", "name", F.lit("unknown"))]}
+    left = S.import_database(db, path, S.Manifest(lookups=lookups, added={"papers": [D.ColumnDef("author_name", "TEXT")]}))
+    assert left == ["bare"] and S.table_names(path) == ["authors", "papers"]
+    assert sorted({r.author_name for r in db.table("papers").collect()}) == ["A", "B", "unknown"] and db.seek("by_year", "1999", low=3).count() == 6
+    assert db.fts("search").match("run").count() == 9 and [r.rowid for r in db.fts("notes").match("body : words").collect()] == [1]
+    with pytest.raises(ValueError, match="exist"):
+        S.import_database(db, path)
+    with db.transaction() as tx:
+        tx.delete("authors", F.col("id") == 1)
+    assert {r.author for r in db.table("papers").collect()} == {2, None}
+    with pytest.raises(D.ConstraintError, match="UNIQUE"), db.transaction() as tx:
+        tx.insert("papers", spark.createDataFrame([(1, "Running tests 2")], "o int, title string"), "o")
+
+
+def test_lookup_takes_the_first_match(spark):
+    other = spark.createDataFrame([(3, 1, "z"), (1, 1, "m"), (2, 1, "a")], "id long, k long, v string")
+    got = S.denormalize(spark.createDataFrame([(1,), (2,)], "k1 long"), {}, [("v1", other, "k1", "k", "v", F.lit("none"), "id")])
+    assert sorted(map(tuple, got.collect())) == [(1, "m"), (2, "none")]
+
+
 def test_key_values(spark):
     kv = KeyValues(spark.createDataFrame([(b"b", b"1"), (b"a\xff", b"2"), (b"c", b"3")], "key binary, value binary"))
     assert kv.get(b"b") == b"1" and not kv.contains(b"z")
