@@ -27,14 +27,17 @@ def index(spark, sf_dir: str, tokenize: str = "unicode61 remove_diacritics 0", c
     """The stored index of documents: built by the first query that needs it in an application, then opened."""
     key = (spark.sparkContext.applicationId, sf_dir, tokenize, columns, detail)
     if key not in _STORED:
-        path = f"{shared_dir(spark)}/fts-{uuid.uuid4().hex}"
-        docs = table(spark, sf_dir, "documents")
-        # a folder of the index for some thousands of documents
-        FtsIndex.build(docs, "doc_id", columns, tokenize, detail).save(path, min(1024, 1 + docs.count() // 5000))
-        _STORED[key] = path
+        _STORED[key] = _build(spark, sf_dir, tokenize, columns, detail)[1]
     return FtsIndex.open(spark, _STORED[key])
 
 
+def _build(spark, sf_dir: str, tokenize: str, columns, detail: str) -> tuple[FtsIndex, str]:
+    path = f"{shared_dir(spark)}/fts-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    # a folder of the index for some thousands of documents
+    return FtsIndex.build(docs, "doc_id", columns, tokenize, detail).save(path, min(1024, 1 + docs.count() // 5000)), path
+
+
 def match(name: str, query: str, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: index(spark, sf_dir).match(query)
     ORACLE[name] = f"with {_TOK} {sql}"
@@ -83,8 +86,15 @@ def fts_porter(spark, sf_dir):
     return index(spark, sf_dir, "porter unicode61 remove_diacritics 1", ("text",)).score("disgust OR losers").withColumn("rank", F.round("rank", 9)).orderBy("rank", "rowid").limit(20)
 
 
+def fts_build(spark, sf_dir):
+    """The index built anew and stored: its numbers of terms, documents and words."""
+    ix = _build(spark, sf_dir, "unicode61 remove_diacritics 0", ("text", "source"), "full")[0]
+    words = F.sum(F.aggregate("lens", F.lit(0), lambda a, x: a + x)).cast("long").alias("words")
+    return ix.vocabulary.agg(F.count("*").alias("terms")).crossJoin(ix.stats.agg(F.count("*").alias("docs"), words))  # one row each
+
+
 def fts_index_stats(spark, sf_dir):
-    return index(spark, sf_dir).vocabulary.where("docs >= 20")
+    return index(spark, sf_dir).vocabulary.where("docs >= 20").select("term", "docs", "hits")
 
 
 def hybrid_search(spark, sf_dir):
@@ -97,12 +107,13 @@ def hybrid_search(spark, sf_dir):
     return out.select("rowid", d.source, tier.alias("tier"), F.round("rank", 9).alias("rank")).orderBy("tier", "rank", "rowid").limit(50)
 
 
-for f in (fts_bm25_topk, fts_pruned_topk, fts_bm25f_weights, fts_trigram, fts_porter, fts_index_stats, hybrid_search):
+for f in (fts_bm25_topk, fts_pruned_topk, fts_bm25f_weights, fts_trigram, fts_porter, fts_build, fts_index_stats, hybrid_search):
     QUERIES[f.__name__] = f
 ORACLE["fts_bm25_topk"] = _rank(["stupid", "clown", "thing"]) + " order by rank, rowid limit 20"
 ORACLE["fts_pruned_topk"] = _rank(["the", "of", "stupid", "clown", "moron"]) + " order by rank, rowid limit 20"
 ORACLE["fts_bm25f_weights"] = _rank(["src7", "stupid"], (2.0, 10.0))
 ORACLE["fts_trigram"] = "select doc_id as rowid from documents where contains(lower(text), 'rash')"
+ORACLE["fts_build"] = f"with {_TOK} select (select count(distinct term) from tok where strlen(term) <= 256) as terms, (select count(*) from documents) as docs, (select count(*) from tok) as words"
 ORACLE["fts_index_stats"] = f"with {_TOK} select term, count(distinct doc_id) as docs, count(*) as hits from tok where strlen(term) <= 256 group by term having count(distinct doc_id) >= 20"
 ORACLE["hybrid_search"] = f"""select rowid, source, case when lower(text) like 'the %' then 0 when instr(lower(text), ' stupid') > 0 then 1 else 2 end as tier, rank from ({_rank(["stupid", "the"])}) r
  join documents d on d.doc_id = r.rowid left join labels l on l.doc_id = d.doc_id where (lang is null or lang = 'en') and coalesce(toxic, 0) = 0 order by tier, rank, rowid limit 50"""
