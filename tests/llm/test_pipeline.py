@@ -106,3 +106,29 @@ def test_toxic_stage_drops_only_rejected(spark, tmp_path):
     kept = {r.doc_id for r in P.toxic(spark, df, str(tmp_path)).collect()}
     assert sum((i in kept) == (not x) for i, _, x in data) / len(data) > 0.93
     assert re.match("1|0", str(int(toxicity.held_out_crc(5))))
+
+
+def test_run_is_its_stages_and_keeps_what_brute_force_keeps(spark, tmp_path):
+    """``run`` over a folder: the documents that plain Python keeps after near-dedup, each with at most twice its words, in bins that hold no document twice."""
+    from tests.llm.test_toxicity import corpus
+
+    bad = [(1000 + i, t, "en", "a", len(t), "x", 3) for i, t, x in corpus(240) if x]
+    good = [(2000 + i, t, "en", "b", len(t), "x", 3) for i, t, x in corpus(240) if not x]
+    data = rows() + bad + good
+    spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 2000)) for i, *_ in bad + good], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    out = P.run(spark, d).collect()
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    clean = [tuple(r) for r in P.toxic(spark, docs, d).collect()]
+    keep = {i for i, c, k in brute_classes(clean) if k}
+    texts = {i: len((t or "").split()) for i, t, *_ in clean if i in keep}
+    words, bins = Counter(), Counter()
+    for r in out:
+        words[r.doc_id] += r["size"]
+        if r.bin_id is not None:
+            bins[r.bin_id, r.doc_id] += 1
+    assert set(words) <= keep and all(n <= 2 * texts[i] for i, n in words.items()) and max(bins.values()) == 1
+    assert abs(sum(words.values()) - 1.5 * sum(texts.values())) <= 3
+    caught = sum(i not in {c[0] for c in clean} for i, *_ in bad) / len(bad)
+    assert caught > 0.9 and sum(i in {c[0] for c in clean} for i, *_ in good) / len(good) > 0.9
