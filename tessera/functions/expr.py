@@ -182,12 +182,19 @@ RANK = {"integer": 1, "real": 1, "text": 2, "blob": 3}
 
 @dataclass(frozen=True)
 class Typed:
-    """A value with its storage class (integer, real, text or blob), and whether it is a column, whose declared type converts the other side."""
+    """A value with its storage class (integer, real, text or blob), whether it is a column, whose declared type converts the other side, and its collation: a column's own, or by an explicit COLLATE."""
 
     value: Column
     kind: str
     column: bool = False
     nocase: bool = False
+    collate: str | None = None
+
+
+def collation(a: Typed, b: Typed) -> str:
+    """An explicit COLLATE, the left one first; else the left column's, else the right column's, else BINARY."""
+    own = lambda t: ("nocase" if t.nocase else "binary") if t.column else None
+    return a.collate or b.collate or own(a) or own(b) or "binary"
 
 
 def _class_order(a: Typed, b: Typed) -> Column:
@@ -199,7 +206,7 @@ def _class_order(a: Typed, b: Typed) -> Column:
         return _sign(int_real_less(x, y), int_real_equal(x, y))
     if (a.kind, b.kind) == ("real", "integer"):
         return -_class_order(b, a)
-    if a.kind == "text" and (a.nocase or (b.nocase and not a.column)):
+    if a.kind == "text" and collation(a, b) == "nocase":
         x, y = nocase(x), nocase(y)
     return _sign(x < y, x == y)
 

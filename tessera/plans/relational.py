@@ -290,3 +290,46 @@ def broadcast_join(spark, sf_dir):
 @query("select o_orderkey from orders where o_custkey = 7 and o_orderstatus = 'O'")
 def matching_rowids(spark, sf_dir):
     return R.matching_rowids(table(spark, sf_dir, "orders"), "o_orderkey", o_custkey=7, o_orderstatus="O")
+
+
+@query(f"select p_partkey, (lower(p_brand) = lower('BRAND#12'))::int::bigint as own, 0::bigint as explicit_binary, (lower(p_brand) = lower('BRAND#12'))::int::bigint as right_own, 0::bigint as left_first, (lower(p_type) > 'm')::int::bigint as explicit_nocase from part")
+def collate_precedence(spark, sf_dir):
+    t = E.Typed
+    brand, kind = t(F.col("p_brand"), "text", column=True, nocase=True), F.col("p_type")
+    bare = lambda v, **k: t(F.lit(v), "text", **k)
+    say = E.as_integer
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", say(E.compare(brand, "=", bare("BRAND#12"))).alias("own"), say(E.compare(brand, "=", bare("BRAND#12", collate="binary"))).alias("explicit_binary"),
+        say(E.compare(bare("BRAND#12"), "=", brand)).alias("right_own"), say(E.compare(t(F.lit("BRAND#12"), "text", column=True), "=", brand)).alias("left_first"),
+        say(E.compare(t(kind, "text", column=True), ">", bare("M", collate="nocase"))).alias("explicit_nocase"),
+    )
+
+
+@query("select o_orderkey, o_totalprice from orders where o_custkey < 40 and o_orderstatus = 'O' and o_totalprice > 1000.5")
+def parameters(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    named = spark.sql("select * from {o} where o_custkey < :most and o_orderstatus = :status", args={"most": 40, "status": "O"}, o=o)
+    return spark.sql("select o_orderkey, o_totalprice from {n} where o_totalprice > ?", args=[1000.5], n=named)
+
+
+@query("select (select count(*) from orders) as n, (select min(o_orderkey) from orders where o_custkey = 7) as first_of_seven, null::bigint as first_of_none")
+def lookups(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return spark.createDataFrame([(R.row_count(o), R.first_rowid(o, "o_orderkey", o_custkey=7), R.first_rowid(o, "o_orderkey", o_custkey=-1))], "n long, first_of_seven long, first_of_none long")
+
+
+@query("select c_mktsegment, n_name, count(*) as n from customer left join nation on c_nationkey = n_nationkey where c_acctbal > 0 and c_custkey > 10 group by 1, 2 having count(*) > 2 order by n desc, c_mktsegment, n_name limit 12 offset 3")
+def builder_query(spark, sf_dir):
+    from .builder import Query
+
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    q = Query(c).left_join(n, c.c_nationkey == n.n_nationkey).where(F.col("c_acctbal") > 0).where(F.col("c_custkey") > 10).group_by("c_mktsegment", "n_name")
+    return q.select(F.count("*").alias("n")).having(F.col("n") > 2).order_by(F.desc("n"), "c_mktsegment", "n_name").limit(12).offset(3).frame()
+
+
+@query("select o_orderkey from orders where o_totalprice = (select max(o_totalprice) from orders where o_orderstatus = 'F')")
+def builder_scalar(spark, sf_dir):
+    from .builder import Query, scalar
+
+    o = table(spark, sf_dir, "orders")
+    return Query(o).where(F.col("o_totalprice") == scalar(Query(o).where(F.col("o_orderstatus") == "F").select(F.max("o_totalprice").alias("m")))).select("o_orderkey").frame()

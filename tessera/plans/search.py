@@ -119,6 +119,17 @@ ORACLE["hybrid_search"] = f"""select rowid, source, case when lower(text) like '
  join documents d on d.doc_id = r.rowid left join labels l on l.doc_id = d.doc_id where (lang is null or lang = 'en') and coalesce(toxic, 0) = 0 order by tier, rank, rowid limit 50"""
 
 
+def fts_append_delete(spark, sf_dir):
+    """An index of half of the documents, the other half appended, every seventh deleted; ranked as if built from what is left."""
+    d = table(spark, sf_dir, "documents")
+    ix = FtsIndex.build(d.where("doc_id % 2 = 0"), "doc_id", ("text",), "unicode61 remove_diacritics 0").append(d.where("doc_id % 2 = 1"), "doc_id")
+    return ix.delete(d.where("doc_id % 7 = 0").select(F.col("doc_id").alias("docid"))).score("stupid OR trash").withColumn("rank", F.round("rank", 9))
+
+
+QUERIES["fts_append_delete"] = fts_append_delete
+ORACLE["fts_append_delete"] = _rank(["stupid", "trash"]).replace("from documents", "from documents where doc_id % 7 <> 0").replace("lower(source)", "lower('')").replace("from documents where doc_id % 7 <> 0 d left", "from (select * from documents where doc_id % 7 <> 0) d left")
+
+
 def _porter_sql(stems: dict[str, tuple[str, ...]]) -> str:
     """Ranks of stemmed terms, each given by the words of the documents that have it."""
     tok = r"""tok as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) term from documents),

@@ -195,3 +195,62 @@ def registry_calls(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(r.call("as_key", "n_nationkey").alias("k"), r.call("shout", "n_name").alias("t"))
     a = n.agg(F.count("*").alias("n"), F.count_if(F.col("t").endswith("!")).alias("texts"))
     return a.crossJoin(n.groupBy().agg(r.call("largest", "k").alias("top")))  # one row each
+
+
+@query("select upper(s_name) as key, 'new' as value from supplier where s_suppkey % 3 = 0 union all select s_name, s_nationkey::varchar from supplier where s_suppkey % 5 <> 0 order by key")
+def kv_put_delete(spark, sf_dir):
+    """Every fifth key deleted, every third one put again under capitals."""
+    from ..sources.kv import KeyValues
+
+    s = table(spark, sf_dir, "supplier")
+    binary = lambda key, value: [key.cast("binary").alias("key"), value.cast("string").cast("binary").alias("value")]
+    kv = KeyValues(s.select(*binary(F.col("s_name"), F.col("s_nationkey"))))
+    kv = kv.delete(s.where("s_suppkey % 5 = 0").select(F.col("s_name").cast("binary").alias("key"))).put(s.where("s_suppkey % 3 = 0").select(*binary(F.upper("s_name"), F.lit("new"))))
+    return kv.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("select r_regionkey as id, upper(r_name) as name, 3::bigint as grade, length(r_name)::bigint as n from region where r_regionkey <> 2")
+def migrate_recreate(spark, sf_dir):
+    """Two migrations, the second one recreating the table in another shape; an old snapshot stays as it was."""
+    old = D.TableDef("region", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("name", "TEXT")], "id")
+    new = D.TableDef("region", [*old.columns, D.ColumnDef("grade", "INTEGER", default=3), D.ColumnDef("n", "INTEGER")], "id", [("name",)])
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
+    db = _database(spark, {"region": (old, rows)})
+    before = db.snapshot_tables()["region"]
+    db.migrate({1: lambda tx: tx.delete("region", F.col("id") == 2), 2: lambda tx: tx.recreate(new, {"name": F.upper("name"), "n": F.char_length("name").cast("long")})})
+    assert before.count() == rows.count() and db.pragma("user_version") == 2
+    return db.table("region")
+
+
+@query("select n_nationkey::bigint as id, case when n_nationkey = 3 then 'third' else n_name end as name, n_regionkey::bigint * 2 as region from nation where n_regionkey <> 4 union all select 100, 'extra', null union all select 101, 'more', 7")
+def builder_writes(spark, sf_dir):
+    """Insert, upsert, update and delete through the builders, in one transaction."""
+    from .builder import Delete, Insert, Update
+
+    t = D.TableDef("nation", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("name", "TEXT"), D.ColumnDef("region", "INTEGER")], "id")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
+    db = _database(spark, {"nation": (t, rows)})
+    with db.transaction() as tx:
+        Delete("nation").where(F.col("region") == 4).run(tx)
+        Update("nation").set(region=F.col("region") * 2).run(tx)
+        Insert("nation").values({"id": 100, "name": "extra"}, {"id": 101, "name": "more", "region": 7}).run(tx)
+        Insert("nation").values({"id": 3, "name": "third"}).on_conflict("id", name=lambda old, new: new["name"]).run(tx)
+    return db.table("nation")
+
+
+@query("select o_orderkey as id, o_custkey::bigint as customer from orders where o_custkey <= 50 union all select 70000000 + c_custkey, c_custkey::bigint from customer where c_custkey <= 50 and c_custkey % 2 = 0")
+def trigger_insert(spark, sf_dir):
+    """A stored trigger with a condition writes a row for each new customer that passes it."""
+    from ..sources.database import Trigger
+
+    orders = D.TableDef("orders", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("customer", "INTEGER")], "id")
+    people = D.TableDef("people", [D.ColumnDef("id", "INTEGER"), D.ColumnDef("name", "TEXT")], "id")
+    rows = table(spark, sf_dir, "orders").where("o_custkey <= 50").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("customer"))
+    db = _database(spark, {"orders": (orders, rows)})
+    with db.transaction() as tx:
+        tx.create_table(people)
+        tx.create_trigger(Trigger("welcome", "people", "insert", when="new.id % 2 = 0", actions=({"insert": "orders", "values": {"id": "70000000 + new.id", "customer": "new.id"}},)))
+    with db.transaction() as tx:
+        c = table(spark, sf_dir, "customer").where("c_custkey <= 50")
+        tx.insert("people", c.select(F.col("c_custkey").alias("o"), F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name")), "o")
+    return db.table("orders")
