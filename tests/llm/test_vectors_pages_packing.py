@@ -324,5 +324,36 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_groups_match_brute_force(spark, monkeypatch):
+    """Every group's bins by looking at every bin, over nulls, copies, long texts and repeated rows."""
+    monkeypatch.setattr(packing, "ROWS_A_GROUP", 40)
+    r = random.Random(12)
+    rows = [(i, "w " * r.choice([0, 3, 17, 17, 40, 99, 250]) + r.choice(["", "x", "y", f"z{i}"]), r.choice(["a", "b", None])) for i in range(150)]
+    rows += [(None, "n " * 30, "a"), (5, None, "b"), rows[9], rows[9], rows[11]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = -(-len(rows) // 40)
+    many = df.select("doc_id", "source", m.alias("m"), F.coalesce(F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))), F.lit(0)).alias("size")).groupBy("doc_id", "source", "m", "size").count()
+    each = many.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("row")).withColumn("group", F.pmod(F.xxhash64("doc_id", "m", "row"), F.lit(groups))).collect()
+    want = Counter()
+    for g in range(groups):
+        last = lambda x: (x is None, x if x is not None else 0)
+        items = sorted((x for x in each if x.group == g), key=lambda x: (-(x["size"] % 100), last(x.doc_id), (x.source is None, x.source or ""), x.m, x["size"]))
+        rest = [x for x in items if x["size"] % 100]
+        bins = defaultdict(list)
+        for x, (b, offset) in zip(rest, plain_fit([(x["size"] % 100, x.source, x.m) for x in rest], 100, packing.SOURCE_LIMIT)):
+            bins[b].append((x.doc_id, x["size"] // 100, x["size"] % 100, offset))
+        for b in bins.values():
+            want[frozenset(Counter(b).items())] += 1
+        for x in items:
+            for piece in range(x["size"] // 100):
+                want[frozenset({((x.doc_id, piece, 100, 0), 1)})] += 1
+    got = defaultdict(list)
+    for x in packing.pack(df, capacity=100).collect():
+        if x.bin_id is not None:
+            got[x.bin_id].append((x.doc_id, x.piece, x["size"], x.offset))
+    assert Counter(frozenset(Counter(b).items()) for b in got.values()) == want
+
+
 def test_query_set_is_only_a_filter(spark):
     assert spark.range(41).where(F.col("id") % 20 == 0).count() == 3
