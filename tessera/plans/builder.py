@@ -88,7 +88,7 @@ class Query:
         return self.frame()._jdf.queryExecution().explainString(self.source.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-MAX_EXPRESSION_DEPTH, MAX_SUBQUERIES = 48, 16
+MAX_SUBQUERIES = 16
 
 
 def literal(x) -> Column:
