@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names.
-
-    Only a session on one machine gets a folder of its own where that is unset; a
-    cluster's executors share no local folder, so there it is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = f"{tempfile.gettempdir()}/checkpoints"
-    return at.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -38,7 +24,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.held: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:

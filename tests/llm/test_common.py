@@ -2,7 +2,8 @@ from types import SimpleNamespace
 
 import pytest
 
-from tessera.llm.common import Scratch, components, scratch_dir
+from tessera.llm.common import Scratch, components
+from tessera.session import shared_dir
 
 
 def fake(master, at=None):
@@ -12,9 +13,9 @@ def fake(master, at=None):
 def test_no_local_folder_on_a_cluster():
     for master in ("spark://a:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
-            scratch_dir(fake(master))
-        assert scratch_dir(fake(master, "hdfs://a/b/")) == "hdfs://a/b"
-    assert scratch_dir(fake("local[4]")).endswith("/checkpoints") and scratch_dir(fake("local"))
+            shared_dir(fake(master))
+        assert shared_dir(fake(master, "hdfs://a/b/")) == "hdfs://a/b"
+    assert shared_dir(fake("local[4]")).endswith("/checkpoints") and shared_dir(fake("local"))
 
 
 def test_tables_that_nothing_reads_are_deleted(spark):
