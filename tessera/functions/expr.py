@@ -40,14 +40,17 @@ def like(x: Column, pattern: str | Column) -> Column:
 
 
 def _checked(exact: Column, real: Column, overflow: str, *operands: Column) -> Column:
-    """The exact result where there is one; beyond 64 bits an error, a REAL column, or a VARIANT that holds either."""
+    """The exact result where there is one; beyond 64 bits an error, a REAL column, a VARIANT that holds either, or the REAL cast back to INTEGER."""
     if overflow == "raise":
         given = reduce(lambda x, y: x & y, [o.isNotNull() for o in operands])
         return F.when(given, F.coalesce(exact, F.raise_error(F.lit("integer overflow")).cast("bigint")))
+    exact = F.when(F.abs(real) < 9.3e18, exact)  # what is surely beyond 64 bits isn't tried: each try that fails makes an exception
     if overflow == "real":
         return F.coalesce(exact.cast("double"), real)
     if overflow == "variant":
         return F.coalesce(exact.cast("variant"), real.cast("variant"))
+    if overflow == "integer":
+        return F.coalesce(exact, real_to_integer(real))
     raise ValueError(overflow)
 
 
@@ -55,8 +58,9 @@ def add(a: Column, b: Column, overflow: str = "raise") -> Column:
     """``+``: INTEGER stays INTEGER and exact.
 
     The dialect turns a sum beyond 64 bits into REAL row by row. A column has one
-    type, so the caller declares the need: ``raise``, ``real`` (all rows), or
-    ``variant``, which holds an exact INTEGER or a REAL in each row.
+    type, so the caller declares the need: ``raise``, ``real`` (all rows), ``variant``,
+    which holds an exact INTEGER or a REAL in each row, or ``integer``, which is
+    ``CAST(a + b AS INTEGER)``: exact, and saturated where the dialect went over to REAL.
     """
     return _checked(F.try_add(a, b), a.cast("double") + b.cast("double"), overflow, a, b)
 

@@ -107,8 +107,8 @@ def arithmetic(spark, sf_dir):
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", E.int_divide(c("l_partkey"), c("l_linenumber") - 3).alias("d"), E.int_mod(c("l_partkey"), c("l_linenumber") - 3).alias("m"),
-        E.add(c("l_partkey"), F.lit(9007199254740993)).alias("s"), E.multiply(c("l_partkey"), F.lit(-90071992547409)).alias("p"), E.subtract(c("l_partkey"), F.lit(9007199254740993)).alias("t"),
-        E.negate(c("l_orderkey")).alias("u"), E.divide(c("l_extendedprice"), c("l_quantity") - 5).alias("r"), E.real_mod(c("l_extendedprice"), c("l_quantity") - 5).alias("q"),
+        E.add(c("l_partkey"), F.lit(9007199254740993), "integer").alias("s"), E.multiply(c("l_partkey"), F.lit(-90071992547409), "integer").alias("p"), E.subtract(c("l_partkey"), F.lit(9007199254740993), "integer").alias("t"),
+        E.negate(c("l_orderkey"), "integer").alias("u"), E.divide(c("l_extendedprice"), c("l_quantity") - 5).alias("r"), E.real_mod(c("l_extendedprice"), c("l_quantity") - 5).alias("q"),
     )
 
 
