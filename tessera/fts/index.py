@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,50 +18,136 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MAX_TERM_BYTES = 256
 #: Folders of a stored index, by a hash of the term; a term's postings are dealt over so many tasks of the build.
 BUCKETS, SALTS = 64, 8
-_ROWS = "term string, docid long, col int, tf int, positions array<int>, length int"
+#: Bytes of text that are cut into tokens at a time, whatever the size of a batch; a document is the smallest unit.
+SLICE = 1 << 20
+_BLOCKS = "term string, col int, ids array<long>, ends array<int>, lens array<int>, places array<int>, docs long, hits long, part double"
 
 
-def _postings(width: int, detail: str, final):
-    """Postings of a batch of documents, and for each document and column a row without term whose ``tf`` is the column's length."""
-    names = ["term", "docid", "col", "tf", "positions", "length"]
+def _slices(b: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[list[str]]]]:
+    """Documents of a batch, some at a time, with the texts of each column."""
+    raw = [b.column(1 + i).cast(pa.binary()) for i in range(width)]
+    size = np.sum([np.diff(np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, x.offset * 4)) for x in raw], axis=0, dtype=np.int64) if width else np.zeros(len(b), np.int64)
+    at, total = 0, np.cumsum(size)
+    while at < len(b):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
+        yield b.column(0).slice(at, end - at), [[x.as_py().decode("utf-8", "replace") for x in r.slice(at, end - at)] for r in raw]
+        at = end
+
+
+def _order(code: np.ndarray) -> np.ndarray:
+    """Places of the codes in their order, equal ones as they come."""
+    bits = len(code).bit_length()
+    if not len(code) or int(code.max()) >= 1 << (62 - bits):
+        return np.argsort(code, kind="stable")
+    key = (code << bits) | np.arange(len(code))
+    key.sort()
+    return key & ((1 << bits) - 1)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _blocks(width: int, detail: str, spec: str, mean: float | None):
+    """Blocks of a slice of documents: for each term and column its postings, and what they add to the term's statistics.
+
+    ``ids`` and ``lens`` are the documents and their lengths, ``places`` all positions one document after the other,
+    ``ends`` where each document's end. ``docs`` counts a document at its first column only; ``part`` is the largest
+    part of a score, where the mean length is given.
+    """
+    tokenizer = Tokenizer(spec)
+
+    def columns(texts: list[list[str]], final):
+        """Codes, documents and positions of the tokens of each column (of all as one without columns), and the terms of the codes."""
+        number: dict[str, int] = {}
+        length = np.zeros(len(texts[0]) if texts else 0, np.int64)
+        out = []
+        for column in texts:
+            t = tokenizer.cut(column)
+            size = np.bincount(t.doc, minlength=len(column))
+            length += size
+            pos = np.arange(len(t.doc)) - np.repeat(np.cumsum(size) - size, size)
+            used = np.flatnonzero(np.bincount(t.code)) if tokenizer.base == "unicode61" or not len(t.code) or t.code.max() < 1 << 22 else np.unique(t.code)
+            names = t.names(used).to_pylist()
+            to = np.array([number.setdefault(final(x) if final else x, len(number)) for x in names], np.int64)
+            code = to[np.searchsorted(used, t.code)] if len(used) else t.code
+            out.append((code, t.doc, pos))
+        if detail == "none" and out:
+            code, doc, pos = (np.concatenate(x) for x in zip(*out))
+            by = _order(doc)
+            out = [(code[by], doc[by], pos[by])]
+        return out, list(number), length
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        final = tokenizer.final()
+        final = final and lru_cache(1 << 16)(final)
+        for b in batches:
+            for ids, texts in _slices(b, width):
+                found, terms, length = columns(texts, final)
+                fits = np.array([len(t.encode()) <= MAX_TERM_BYTES for t in terms], bool)
+                terms, seen = pa.array(terms, pa.string()), np.zeros(0, np.int64)
+                for i, (code, doc, pos) in enumerate(found):
+                    by = _order(code)
+                    by = by[fits[code[by]]]
+                    code, doc, pos = code[by], doc[by], pos[by]
+                    if not len(code):
+                        continue
+                    post = _starts(code, doc)
+                    pair = code[post] * len(ids) + doc[post]
+                    block = _starts(code[post])
+                    new = ~np.isin(pair, seen)
+                    if i + 1 < len(found):
+                        seen = np.concatenate((seen, pair))
+                    token, cut = post[block], np.append(block, len(post))
+                    end = np.append(post[1:], len(code))
+                    tf, size, each = end - post, length[doc[post]], np.diff(cut)
+                    part = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)), block) if mean else np.full(len(block), np.nan)
+                    hits = np.diff(np.append(token, len(code)))
+                    yield pa.RecordBatch.from_arrays([
+                        terms.take(pa.array(code[token])), pa.array(np.full(len(block), -1 if detail == "none" else i), pa.int32()),
+                        _lists(cut, ids.take(pa.array(doc[post]))), _lists(cut, pa.array(end - np.repeat(token, each), pa.int32())), _lists(cut, pa.array(size, pa.int32())),
+                        _lists(np.append(token, len(code)), pa.array(pos, pa.int32())) if detail == "full" else pa.nulls(len(block), pa.list_(pa.int32())),
+                        pa.array(np.add.reduceat(new, block, dtype=np.int64)), pa.array(hits), pa.array(part),
+                    ], ["term", "col", "ids", "ends", "lens", "places", "docs", "hits", "part"])
+
+    return rows
+
+
+def _sizes(width: int, spec: str):
+    """The number of tokens of each document's columns."""
+    tokenizer = Tokenizer(spec)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            size = [np.diff(b.column(1 + i).offsets.to_numpy()) for i in range(width)]
-            length = np.sum(size, axis=0, dtype=np.int64) if width else np.zeros(len(ids), np.int64)
-            flat, col, doc, pos = [], [], [], []
-            for i in range(width):
-                flat.append(b.column(1 + i).flatten())
-                doc.append(np.repeat(np.arange(len(ids)), size[i]))
-                pos.append(np.arange(size[i].sum()) - np.repeat(np.cumsum(size[i]) - size[i], size[i]))
-                col.append(np.full(size[i].sum(), -1 if detail == "none" else i))
-            doc, pos, col = (np.concatenate(x).astype(np.int64) for x in (doc, pos, col))
-            coded = pa.concat_arrays(flat).dictionary_encode()
-            tokens = coded.dictionary.to_pylist()
-            number: dict[str, int] = {}
-            to = np.array([number.setdefault(final(t) if final else t, len(number)) for t in tokens], np.int64)
-            code = to[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-            fits = np.array([len(t.encode()) <= MAX_TERM_BYTES for t in number], bool)
-            keep = fits[code] if len(code) else np.zeros(0, bool)
-            doc, pos, col, code = doc[keep], pos[keep], col[keep], code[keep]
-            order = np.lexsort((pos, col, code, doc))
-            doc, pos, col, code = doc[order], pos[order], col[order], code[order]
-            first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]) | (col[1:] != col[:-1])))) if len(doc) else np.zeros(0, np.int64)
-            cut = np.append(first, len(doc)).astype(np.int32)
-            places = pa.ListArray.from_arrays(pa.array(cut), pa.array(pos, pa.int32())) if detail == "full" else pa.nulls(len(first), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(number), pa.string()).take(pa.array(code[first])), ids.take(pa.array(doc[first])), pa.array(col[first], pa.int32()), pa.array(np.diff(cut), pa.int32()), places, pa.array(length[doc[first]], pa.int32()),
-            ], names)
-            each = np.tile(np.arange(len(ids)), width)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(each), pa.string()), ids.take(pa.array(each)), pa.array(np.repeat(np.arange(width), len(ids)), pa.int32()), pa.array(np.concatenate(size), pa.int32()),
-                pa.nulls(len(each), pa.list_(pa.int32())), pa.array(length[each], pa.int32()),
-            ], names)
+            for ids, texts in _slices(b, width):
+                size = np.array([tokenizer.sizes(column) for column in texts], np.int64).reshape(width, len(ids))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int32()) for x in size]], ["docid", *[f"n{i}" for i in range(width)]])
 
     return rows
 
 
+def _postings(blocks: DataFrame) -> DataFrame:
+    """Blocks as postings, by built-in functions; a filter on terms goes below this."""
+    kept = [c for c in ("bucket",) if c in blocks.columns]
+    each = blocks.select("term", "col", "ends", "lens", "places", *kept, F.posexplode("ids").alias("at", "docid"))
+    start = F.coalesce(F.get("ends", F.col("at") - 1), F.lit(0))
+    tf = F.get("ends", "at") - start
+    return each.select("term", "docid", "col", tf.alias("tf"), F.slice("places", start + 1, tf).alias("positions"), F.get("lens", "at").alias("length"), *kept)
+
+
+def _singles(postings: DataFrame, mean: float) -> DataFrame:
+    """Postings as blocks of one."""
+    part = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + _scale(F.col("length"), mean))
+    return postings.select("term", "col", F.array("docid").alias("ids"), F.array("tf").alias("ends"), F.array("length").alias("lens"), F.col("positions").alias("places"), F.lit(1).cast("long").alias("docs"), F.col("tf").cast("long").alias("hits"), part.alias("part"))
+
+
 def _idf(n: int, df: int) -> float:
     return max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
 
@@ -74,46 +160,46 @@ class FtsIndex:
     """``postings(term, docid, col, tf, positions, length)`` and ``stats(docid, lens)`` of some text columns.
 
     ``length`` is that of the whole document, so ranking reads nothing but postings. ``detail``
-    is full, column (no positions) or none (no columns either). A stored index (``save``,
+    is full, column (no positions) or none (no columns either). Postings are made and stored
+    in blocks, one for each term and column of a slice of documents. A stored index (``save``,
     ``open``) lies in folders by a hash of the term, sorted by term, with a table of the
     terms' document frequencies and the totals beside it: a term's scan reads one folder's row
     groups, and its df and the totals are looked up.
     """
 
-    def __init__(self, postings: DataFrame, stats: DataFrame, columns: tuple[str, ...], tokenizer: str, detail: str = "full", vocabulary: DataFrame | None = None, totals: tuple | None = None):
+    def __init__(self, postings: DataFrame, stats: DataFrame, columns: tuple[str, ...], tokenizer: str, detail: str = "full", vocabulary: DataFrame | None = None, totals: tuple | None = None, words: DataFrame | None = None):
         self.postings, self.stats, self.columns = postings, stats, columns
         self.spec, self.tokenizer, self.detail = tokenizer, Tokenizer(tokenizer), detail
-        self.vocabulary, self._totals = vocabulary, totals
+        self.vocabulary, self._totals, self._words = vocabulary, totals, words
 
     @classmethod
     def build(cls, docs: DataFrame, docid: str, columns: tuple[str, ...], tokenize: str = "unicode61", detail: str = "full") -> FtsIndex:
         """NULL text is empty; terms over 256 bytes are left out but count in lengths. A document's postings are made where it is read."""
         if detail not in ("full", "column", "none"):
             raise ValueError(detail)
-        t = Tokenizer(tokenize)
-        words = docs.select(F.col(docid).cast("long").alias("docid"), *[t.tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-        rows = words.mapInArrow(_postings(len(columns), detail, t.final()), _ROWS)
-        return cls(rows.where("term is not null"), cls._lengths(rows.where("term is null"), len(columns)), tuple(columns), tokenize, detail)
-
-    @staticmethod
-    def _lengths(rows: DataFrame, width: int) -> DataFrame:
-        return rows.groupBy("docid").agg(F.array(*[F.sum(F.when(F.col("col") == i, F.col("tf"))).cast("int") for i in range(width)]).alias("lens"))
+        t, width = Tokenizer(tokenize), len(columns)
+        words = docs.select(F.col(docid).cast("long").alias("docid"), *[t.prepare(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+        sizes = words.mapInArrow(_sizes(width, tokenize), ", ".join(["docid long", *[f"n{i} int" for i in range(width)]]))
+        stats = sizes.groupBy("docid").agg(F.array(*[F.sum(f"n{i}").cast("int") for i in range(width)]).alias("lens"))
+        return cls(_postings(words.mapInArrow(_blocks(width, detail, tokenize, None), _BLOCKS)), stats, tuple(columns), tokenize, detail, words=words)
 
     def save(self, path: str, buckets: int = BUCKETS) -> FtsIndex:
-        """Writes the index and reads it back: one pass over the documents, one shuffle of the postings, in which no term is one task."""
+        """Writes the index and reads it back: a pass over the documents for their lengths, one for their postings, and one shuffle of the blocks, in which no term is one task."""
         spark = self.postings.sparkSession
-        lens = self.stats.select("docid", F.posexplode("lens").alias("col", "tf"), F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("length"))
-        rows = self.postings.select("term", "docid", "col", "tf", "positions", "length", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
-        rows.repartition("bucket", F.pmod("docid", F.lit(SALTS))).sortWithinPartitions("bucket", "term", "docid").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        lens.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("col", "tf")))["tf"].alias("lens")).write.mode("overwrite").parquet(f"{path}/stats")
-        stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        total = spark.read.parquet(f"{path}/stats").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("lens", F.lit(0), lambda a, x: a + x)), F.lit(0)).alias("words"))
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        total = spark.read.schema("docid long, lens array<int>").parquet(f"{path}/stats").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.aggregate("lens", F.lit(0), lambda a, x: a + x)), F.lit(0)).alias("words"))
         n, words = total.first()
+        mean = words / n if words else 1.0
+        whole = self._words is not None and not self._words.groupBy("docid").count().where("count > 1").limit(1).count()
+        made = self._words.mapInArrow(_blocks(len(self.columns), self.detail, self.spec, mean), _BLOCKS) if self._words is not None else _singles(self.postings, mean)
+        rows = made.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        rows.repartition("bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SALTS))).sortWithinPartitions("bucket", "term", F.get("ids", F.lit(0))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
         # the largest part of a score that a term gives any document, a column at a time
-        part = F.max(F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + _scale(F.col("length"), words / n if words else 1.0)))
-        each = stored.groupBy("term", "col").agg(F.sum("tf").cast("long").alias("hits"), part.alias("bound"))
-        docs = stored.groupBy("term").agg(F.count_distinct("docid").alias("docs"))
-        terms = each.groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("bound").alias("bound")).join(docs, "term")
+        each = stored.groupBy("term", "col").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"), F.max("part").alias("bound"))
+        terms = each.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"), F.sum("bound").alias("bound"))
+        if not whole:  # a document may be in several blocks of a term
+            terms = terms.drop("docs").join(_postings(stored).groupBy("term").agg(F.count_distinct("docid").alias("docs")), "term")
         terms.select("term", "docs", "hits", "bound").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         about = [F.lit(x).alias(k) for k, x in (("columns", "\x1f".join(self.columns)), ("tokenizer", self.spec), ("detail", self.detail), ("buckets", buckets))]
         total.select("*", *about).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
@@ -123,7 +209,7 @@ class FtsIndex:
     def open(cls, spark: SparkSession, path: str) -> FtsIndex:
         a = spark.read.parquet(f"{path}/about").first()
         out = cls(
-            spark.read.schema(f"{_ROWS}, bucket int").parquet(f"{path}/postings"), spark.read.schema("docid long, lens array<int>").parquet(f"{path}/stats"), tuple(a["columns"].split("\x1f")), a["tokenizer"], a["detail"],
+            _postings(spark.read.schema(f"{_BLOCKS}, bucket int").parquet(f"{path}/postings")), spark.read.schema("docid long, lens array<int>").parquet(f"{path}/stats"), tuple(a["columns"].split("\x1f")), a["tokenizer"], a["detail"],
             spark.read.schema("term string, docs long, hits long, bound double").parquet(f"{path}/terms"), (a["n"], a["words"] / a["n"] if a["n"] else 0.0),
         )
         out.buckets = a["buckets"]
