@@ -33,9 +33,7 @@ def index(spark, sf_dir: str, tokenize: str = "unicode61 remove_diacritics 0", c
 
 def _build(spark, sf_dir: str, tokenize: str, columns, detail: str) -> tuple[FtsIndex, str]:
     path = f"{shared_dir(spark)}/fts-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    # a folder of the index for some thousands of documents
-    return FtsIndex.build(docs, "doc_id", columns, tokenize, detail).save(path, min(1024, 1 + docs.count() // 5000)), path
+    return FtsIndex.build(table(spark, sf_dir, "documents"), "doc_id", columns, tokenize, detail).save(path), path
 
 
 def match(name: str, query: str, sql: str) -> None:

@@ -475,7 +475,7 @@ class Database:
                 path = manifest.get("fts", {}).get(name, {}).get("path")
                 if f"fts {name}" in tx.staged:
                     path = fresh("fts-", name)
-                    tx.fts[name].save(f"{self.root}/{path}", 4)
+                    tx.fts[name].save(f"{self.root}/{path}")
                 out["fts"][name] = {"path": path, "def": asdict(d)}
             out["triggers"] = {k: {"name": t.name, "table": t.table, "event": t.event, "when": t.when, "actions": list(t.actions)} for k, t in tx.triggers.items()}
             if not self.files.create(f"manifest/{n + 1:012d}.json", json.dumps(out)):
