@@ -21,6 +21,7 @@ SLICE = 1 << 20
 _BLOCKS = "term string, col int, ids array<long>, ends array<int>, lens array<int>, places array<int>, docs long, hits long, part double"
 _PACKED = "term string, col int, slice long, gaps binary, ids array<long>, lens array<int>, docs long, hits long, part double"
 _POSTINGS = "term string, docid long, col int, tf int, positions array<int>, length int"
+_PLACES = "docid long, col int, length int, at int"
 
 
 def _slices(b: pa.RecordBatch, width: int) -> Iterator[tuple[pa.Array, list[list[str]]]]:
@@ -236,13 +237,24 @@ def _repacks(mean: float):
     return rows
 
 
-def _unpacks(full: bool):
-    """Postings of stored blocks. They come by slice, behind the row of its documents, and are taken some at a time, whatever the size of a batch."""
+def _unpacks(full: bool, places: bool = False):
+    """Postings of stored blocks, or a row for each position. They come by slice, behind the row of its documents, and are taken some at a time, whatever the size of a batch."""
+
+    def by_place(part: pa.RecordBatch, ids: pa.Array, lens: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), part.column("col").take(pa.array(row)), pa.array(lens[doc], pa.int32()), pa.array(pos, pa.int32())], ["docid", "col", "length", "at"])
+
+    def by_document(part: pa.RecordBatch, ids: pa.Array, lens: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        post = _starts(row, doc)
+        by, of, cut = doc[post], pa.array(row[post]), np.append(post, len(pos))
+        positions = _lists(cut, pa.array(pos, pa.int32())) if full else pa.nulls(len(post), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([
+            part.column("term").take(of), ids.take(pa.array(by)), part.column("col").take(of), pa.array(np.diff(cut), pa.int32()), positions, pa.array(lens[by], pa.int32()),
+        ], ["term", "docid", "col", "tf", "positions", "length"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lens = pa.array([], pa.int64()), np.zeros(0, np.int64)
         for b in batches:
-            null = b.column("term").is_null().to_numpy(zero_copy_only=False)
+            null = b.column("gaps").is_null().to_numpy(zero_copy_only=False)
             total = np.cumsum(np.where(null, 0, b.column("hits").fill_null(0).to_numpy()))
             at = 0
             while at < len(b):
@@ -265,13 +277,7 @@ def _unpacks(full: bool):
                     place = np.cumsum(gap)
                     place += np.repeat(base[of] + gap[first] - place[first], hits)
                     doc, row = np.searchsorted(begin, place, "right") - 1, np.repeat(np.arange(len(hits)), hits)
-                    post = _starts(row, doc)
-                    by, of_row = doc[post], pa.array(row[post])
-                    cut = np.append(post, len(place))
-                    positions = _lists(cut, pa.array(place - begin[doc], pa.int32())) if full else pa.nulls(len(post), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("term").take(of_row), ids.take(pa.array(by)), part.column("col").take(of_row), pa.array(np.diff(cut), pa.int32()), positions, pa.array(lens[by], pa.int32()),
-                    ], ["term", "docid", "col", "tf", "positions", "length"])
+                    yield by_place(part, ids, lens, doc, row, place - begin[doc]) if places else by_document(part, ids, lens, doc, row, place - begin[doc])
                 if table.any():
                     ids, lens = ids.slice(len(ids) - size[-1]), lens[len(lens) - size[-1] :]
 
@@ -305,10 +311,10 @@ def _packed(made: DataFrame, rows) -> DataFrame:
     return out.withColumn("slice", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("slice"))
 
 
-def _unpacked(stored: DataFrame, full: bool) -> DataFrame:
-    """Stored blocks as postings: each slice's come together, the row of its documents first."""
-    rows = stored.select("term", "col", "slice", "gaps", "hits", "ids", "lens").repartition("slice")
-    return rows.sortWithinPartitions("slice", F.col("term").asc_nulls_first()).mapInArrow(_unpacks(full), _POSTINGS)
+def _unpacked(stored: DataFrame, full: bool, places: bool = False) -> DataFrame:
+    """Stored blocks as postings, or as a row for each position: each slice's come together, the row of its documents first."""
+    rows = stored.select(*[] if places else ["term"], "col", "slice", "gaps", "hits", "ids", "lens").repartition("slice")
+    return rows.sortWithinPartitions("slice", F.col("gaps").isNotNull()).mapInArrow(_unpacks(full, places), _PLACES if places else _POSTINGS)
 
 
 def _idf(n: int, df: int) -> float:
@@ -398,14 +404,20 @@ class FtsIndex:
             self._totals = (n, (total or 0) / n if n else 0.0)
         return self._totals
 
-    def _where(self, wanted: Column) -> DataFrame:
-        """Postings by a condition on terms, which a stored index meets before it unpacks anything."""
+    def _where(self, wanted: Column, positions: bool = False) -> DataFrame:
+        """Postings by a condition on blocks, which a stored index meets before it unpacks anything."""
         if self._stored is None:
             return self.postings.where(wanted)
-        return _unpacked(self._stored.where(wanted | F.col("term").isNull()), self.detail == "full")
+        return _unpacked(self._stored.where(wanted | F.col("term").isNull()), positions and self.detail == "full")
+
+    def _places(self, wanted: Column) -> DataFrame:
+        """``docid, col, length, at``: a row for each position in postings by a condition."""
+        if self._stored is None:
+            return self.postings.where(wanted).select("docid", "col", "length", F.explode("positions").alias("at"))
+        return _unpacked(self._stored.where(wanted | F.col("term").isNull()), True, True)
 
     def term_postings(self, term: str) -> DataFrame:
-        return self._where(F.col("term") == term)
+        return self._where(F.col("term") == term, True)
 
     def document_frequency(self, term: str) -> int:
         return self._frequencies([term])[term]
@@ -429,19 +441,18 @@ class FtsIndex:
                 raise QueryError(f"no such column: {odd or leaf.columns}")
             only = [names.index(c.lower()) for c in leaf.columns]
 
-        def rows(i: int) -> DataFrame:
-            p = self._where(F.col("term").startswith(terms[i])) if leaf.prefix and i == len(terms) - 1 else self.term_postings(terms[i])
-            return p if only is None else p.where(F.col("col").isin(only))
+        def wanted(i: int) -> Column:
+            at = F.col("term").startswith(terms[i]) if leaf.prefix and i == len(terms) - 1 else F.col("term") == terms[i]
+            return at if only is None else at & F.col("col").isin(only)
 
         if not terms:
             return self.postings.where(F.lit(False)).select("docid", "col", "tf", "length")
         if len(terms) == 1:
-            return rows(0).select("docid", "col", "tf", "length")
+            return self._where(wanted(0)).select("docid", "col", "tf", "length")
         if self.detail != "full":
             raise QueryError("phrases need detail=full")
         # a place holds one term, so a phrase starts where all its terms agree on the place
-        back = lambda i: F.explode(F.transform("positions", lambda x: x - F.lit(i))).alias("at")
-        parts = [rows(i).select("docid", "col", "length", back(i)) for i in range(len(terms))]
+        parts = [self._places(wanted(i)).withColumn("at", F.col("at") - i) for i in range(len(terms))]
         at = reduce(DataFrame.union, parts).groupBy("docid", "col", "length", "at").agg(F.count("*").alias("n"))
         return at.where(F.col("n") == len(terms)).select("docid", "col", F.lit(1).alias("tf"), "length")
 
@@ -519,7 +530,7 @@ class FtsIndex:
                 rank = rank + F.coalesce(F.lit(idf[t]) * (F.col(f"f{i}") * F.lit(K1 + 1) / (F.col(f"f{i}") + _scale(F.col("length"), mean))), F.lit(0.0))
             return hits.select(F.col("docid").alias("rowid"), (-rank).alias("rank"))
 
-        rows = lambda t: self.term_postings(t).select("term", "docid", "tf", "length")
+        rows = lambda t: self._where(F.col("term") == t).select("term", "docid", "tf", "length")
         best = ranked(rows(order[-1])).orderBy("rank").limit(k).agg(F.max("rank"), F.count("*")).first()
         floor = -best[0] if best[1] == k else 0.0
         weak, total = 0, 0.0
